@@ -78,7 +78,32 @@ def _full_sets(size: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands: int = 24, rows: int = 4, pivots: int = 4) -> DataFrame:
+def _compare(percent: int):
+    """Links between two blocks of one bucket, across components."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        us, vs = [], []
+        if left.num_rows and right.num_rows:
+            rows = [right.column(c).to_numpy() for c in ("id", "comp")]
+            lists = right.column("shingles").combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            values = lists.flatten().to_numpy()
+            for i, c, s in zip(left.column("id").to_pylist(), left.column("comp").to_pylist(), left.column("shingles")):
+                mine = np.array(s.as_py(), np.int64)
+                mine.sort()
+                at = np.minimum(np.searchsorted(mine, values), len(mine) - 1)
+                same = np.bincount(owner[mine[at] == values], minlength=len(sizes))
+                hit = np.flatnonzero((same * 100 >= (len(mine) + sizes - same) * percent) & (rows[1] != c))
+                us.append(np.minimum(rows[0][hit], i)), vs.append(np.maximum(rows[0][hit], i))
+        u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands: int = 24, rows: int = 4, pivots: int = 4, small: int = 32, block: int = 256) -> DataFrame:
     """Groups of documents joined by links of shingle Jaccard >= percent / 100.
 
     docs: doc_id (unique, not null; long) and text; other columns are ignored. Lower-cases A-Z,
@@ -91,11 +116,12 @@ def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands:
     two minima and two maxima matches with probability of about J^4).
 
     Documents with one set are one class, of which only the representative is hashed into
-    buckets, so exact copies cost one aggregation. In a bucket of near copies not all pairs are
-    compared: a round compares every member with one pivot of its bucket (first the member that
-    shares most buckets, as it stands in the middle of its copies), confirmed links are joined to
-    components, and the next round looks only at members of other components. What is left after
-    the rounds is compared in full, so no link between components is missed for a bucket's size.
+    buckets, so exact copies cost one aggregation. In a bucket of many near copies not all pairs are
+    made: first every member is compared with the one that shares most buckets (it stands in the
+    middle of its copies) and links are joined to components. Then buckets of up to `small` members
+    are compared in full, and in larger ones what lies outside the largest component with `pivots`
+    more members. What is outside after that is compared with all members of its bucket in blocks
+    of about `block`, which give links and no other pairs; so no link between components is missed.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = C.cut(src.mapInArrow(_signatures(size, bands, rows), _SIGNED))
@@ -110,45 +136,57 @@ def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands:
     wanted = members.select("id").distinct()
     sets = C.cut(src.join(wanted, src["doc_id"] == wanted["id"], "left_semi").mapInArrow(_full_sets(size), "doc_id long, shingles array<long>"))
 
-    links, seen, comps, old = None, None, None, []
+    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
+    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
+    same = F.size(F.array_intersect("su", "sv"))
+    enough = same * 100 >= (F.size("su") + F.size("sv") - same) * percent
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, na, b, nb), on the full sets."""
+        near = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        near = near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        return C.cut(near.join(left, "u").join(right, "v").where(enough).select("u", "v"))
+
+    def split_buckets(comps: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components, with the size of the bucket and whether their component is the bucket's largest."""
+        now = members.join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        by = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
+        return C.cut(now.join(by, "key").select("key", "id", "n", "comp", "members", (F.col("comp") == F.col("main")).alias("main")))
+
+    # first round: every member of a bucket against the one of its members that shares most buckets
     degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
-    current = members.join(degree, "id").withColumn("comp", F.col("id"))
-    for turn in range(pivots + 1):
-        if turn:
-            current = members.join(comps.withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")).withColumn("degree", F.xxhash64("id", F.lit(turn)))
-            split = current.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            current = current.join(split, "key")
-        current = C.cut(current)
-        if current.isEmpty():
-            C.remove(current)
-            break
-        a = current.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        if turn < pivots:
-            pivot = current.groupBy("key").agg(F.max_by(F.struct("id", "n", "comp"), F.struct("degree", "id")).alias("p")).select("key", F.col("p.id").alias("b"), F.col("p.n").alias("nb"), F.col("p.comp").alias("cb"))
-            pairs = a.join(pivot, "key").where("ca <> cb")
-        else:
-            b = a.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-            pairs = a.join(b, "key").where("ca < cb")
-        pairs = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        pairs = pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["u", "v"], "left_anti")
-        left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
-        right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
-        same = F.size(F.array_intersect("su", "sv"))
-        tested = C.cut(pairs.join(left, "u").join(right, "v").select("u", "v", (same * 100 >= (F.size("su") + F.size("sv") - same) * percent).alias("linked")))
-        C.remove(current)
-        seen = tested.select("u", "v") if seen is None else seen.unionByName(tested.select("u", "v"))
-        good = tested.where("linked").select("u", "v")
-        links = good if links is None else links.unionByName(good)
-        C.remove(comps)
-        comps = C.components(links)
-        old.append(tested)
+    pivot = members.join(degree, "id").groupBy("key").agg(F.max_by(F.struct("id", "n"), F.struct("degree", "id")).alias("p")).select("key", F.col("p.id").alias("b"), F.col("p.n").alias("nb"))
+    as_a = lambda df: df.select("key", F.col("id").alias("a"), F.col("n").alias("na"))
+    links = confirmed(as_a(members).join(pivot, "key").where("a <> b"))
+    comps = C.components(links)
+
+    # second round: small buckets in full; in large ones, those outside the largest component against some more members
+    current = split_buckets(comps)
+    rows_a = current.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "members", "main")
+    rows_b = current.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "members")
+    few = rows_a.where(F.col("members") <= small).drop("members", "main").join(rows_b.where(F.col("members") <= small).drop("members"), "key").where("ca < cb")
+    draw = F.xxhash64("b", F.lit(1))
+    drawn = rows_b.where(F.col("members") > small).groupBy("key").agg(*(F.max_by(F.struct("b", "nb", "cb"), F.pmod(draw, F.lit(p))).alias(f"p{p}") for p in (10007, 10009, 10037, 10039)[:pivots]))
+    drawn = drawn.select("key", F.explode(F.array(*drawn.columns[1:])).alias("p")).select("key", F.col("p.b").alias("b"), F.col("p.nb").alias("nb"), F.col("p.cb").alias("cb"))
+    many = rows_a.where((F.col("members") > small) & ~F.col("main")).drop("members", "main").join(drawn, "key").where("ca <> cb")
+    links = links.unionByName(confirmed(few.unionByName(many)))
+    C.remove(current, comps)
+    comps = C.components(links)
+
+    # third round: what large buckets still hold outside their largest component, against all their members, block by block
+    current = split_buckets(comps).where(F.col("members") > small)
+    with_sets = current.join(sets.withColumnRenamed("doc_id", "id"), "id")
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    outside = with_sets.where(~F.col("main")).select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("x"), each.alias("y"), "id", "comp", "shingles")
+    whole = with_sets.select(F.col("key").alias("key"), each.alias("x"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("y"), *(F.col(c).alias(c) for c in ("id", "comp", "shingles")))
+    whole = whole.select(*(F.col(c).alias(c) for c in whole.columns))  # columns of their own, for the cogroup
+    found = C.cut(outside.groupBy("key", "x", "y").cogroup(whole.groupBy("key", "x", "y")).applyInArrow(_compare(percent), "u long, v long").distinct())
+    links = links.unionByName(found)
+    C.remove(comps)
+    comps = C.components(links)
     merged = classes.select("n_shingles", "f1", "f2", "class_id")
-    if comps is not None:
-        merged = merged.join(comps, merged["class_id"] == comps["node"], "left").drop("node")
-    else:
-        merged = merged.withColumn("component", F.lit(None).cast("long"))
+    merged = merged.join(comps, merged["class_id"] == comps["node"], "left").drop("node")
     on = ["n_shingles", "f1", "f2"]
     out = signed.select("doc_id", *on).join(merged, on, "left")
     return out.select(
