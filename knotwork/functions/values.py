@@ -115,7 +115,7 @@ def finite(col: Column, what: str) -> Column:
 # ------------------------------------------------------------------ decimals
 
 
-@F.pandas_udf(DECIMAL)
+@F.pandas_udf(T.DecimalType(38, 19))
 def decimal_product(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact product, rounded half up at the 19th digit. Spark's own gives up digits of the scale."""
     q = Decimal(1).scaleb(-19)
@@ -124,7 +124,7 @@ def decimal_product(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else (x * y).quantize(q, ROUND_HALF_UP) for x, y in zip(a, b)], dtype=object)
 
 
-@F.pandas_udf(DECIMAL)
+@F.pandas_udf(T.DecimalType(38, 19))
 def decimal_quotient(a: pd.Series, n: pd.Series) -> pd.Series:
     q = Decimal(1).scaleb(-19)
     with localcontext() as c:
