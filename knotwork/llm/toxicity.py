@@ -9,6 +9,7 @@ weight a subsequence, so a word is scored without a look at the landmarks.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,6 +22,7 @@ from knotwork.llm.quality import labelled_sample
 
 DECAY = 0.6
 REACH = 6  # letters that a subsequence of three may span
+FIRM = 0.8  # a word with this score or more is taken for an insult by itself
 _PATTERNS = [(i, j) for j in range(2, REACH) for i in range(1, j)]
 _CODES = 64**3
 
@@ -99,19 +101,30 @@ def norms(bounds: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(total > 0, total, 1))
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 30) -> np.ndarray:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the vectors inside the margin. The last column of x is the bias."""
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, rounds: int = 60) -> np.ndarray:
+    """Linear support vector machine with squared hinge loss, by Newton steps with line search. The last column of x is the bias."""
     w = np.zeros(x.shape[1])
     reg = np.full(x.shape[1], l2)
     reg[-1] = 1e-6
-    active = None
+
+    def loss(v: np.ndarray) -> float:
+        m = np.maximum(1 - y * (x @ v), 0)
+        return 0.5 * float(reg @ (v * v) + weight @ (m * m))
+
+    now = loss(w)
     for _ in range(rounds):
-        m = y * (x @ w) < 1
-        if active is not None and (m == active).all():
+        m = 1 - y * (x @ w)
+        inside = m > 0
+        xs = x[inside] * weight[inside][:, None]
+        gradient = reg * w - xs.T @ (y[inside] * m[inside])
+        step = np.linalg.solve(xs.T @ x[inside] + np.diag(reg), -gradient)
+        size = 1.0
+        while (new := loss(w + size * step)) > now + 1e-4 * size * float(gradient @ step) and size > 1e-6:
+            size /= 2
+        w = w + size * step
+        if now - new < 1e-7 * max(now, 1e-12):
             break
-        active = m
-        xs = x[m] * weight[m][:, None]
-        w = np.linalg.solve(xs.T @ x[m] + np.diag(reg), xs.T @ y[m])
+        now = new
     return w
 
 
@@ -129,9 +142,9 @@ class Model:
         return out / norms(new) + self.bias
 
     def documents(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """(texts, 2): the largest word score in any sentence, and the log of one plus the words with a positive one."""
+        """(texts, 4): the largest word score in any sentence (from -2 to 1.2), logs of one plus the words with a score above FIRM and above 0, and of one plus all words."""
         letters, bounds, first = word_letters(data, off)
-        out = np.zeros((len(off) - 1, 2))
+        out = np.zeros((len(off) - 1, 4))
         out[:, 0] = -2.0
         if len(bounds) > 1:
             key = _word_keys(letters, bounds)
@@ -141,8 +154,11 @@ class Model:
             flat = letters[np.arange(take[-1]) - np.repeat(take[:-1] - bounds[:-1][where], size)]
             score = self.words(flat, take)[back]
             full = np.flatnonzero(np.diff(first))
-            out[full, 0] = np.maximum(np.maximum.reduceat(score, first[:-1][full]), -2.0)
-            out[full, 1] = np.log1p(np.add.reduceat((score > 0).astype(float), first[:-1][full]))
+            begin = first[:-1][full]
+            out[full, 0] = np.clip(np.maximum.reduceat(score, begin), -2.0, 1.2)
+            out[full, 1] = np.log1p(np.add.reduceat((score > FIRM).astype(float), begin))
+            out[full, 2] = np.log1p(np.add.reduceat((score > 0).astype(float), begin))
+            out[:, 3] = np.log1p(np.diff(first))
         return out
 
     def probability(self, facts: np.ndarray) -> np.ndarray:
@@ -203,14 +219,44 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1500, negative
     return fit(bags, landmarks, seed)
 
 
+def families(sets: list[set[bytes]], bands: int = 6, rows: int = 3) -> list[int]:
+    """A number for each set, the same for sets that share a band of min-hashes."""
+    root = list(range(len(sets)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    seen: dict[tuple, int] = {}
+    for k, words in enumerate(sets):
+        if words:
+            h = C.mix(np.array([zlib.crc32(w) for w in words], np.uint64))
+            low = [int(C.mix(h ^ C.mix(np.uint64(i + 1))).min()) for i in range(bands * rows)]
+            for b in range(bands):
+                other = seen.setdefault((b, *low[b * rows : (b + 1) * rows]), k)
+                root[find(k)] = find(other)
+    return [find(k) for k in range(len(sets))]
+
+
 def fit(bags: list[tuple[int, list[set[bytes]], str]], landmarks: int, seed: int) -> Model | None:
     rng = np.random.default_rng(seed)
-    n_pos, n_neg = sum(b[0] for b in bags), sum(1 - b[0] for b in bags)
-    if not n_pos or not n_neg:
+    if len({b[0] for b in bags}) < 2:
         return None
-    in_pos, in_neg = Counter(), Counter()
-    for label, sentences, _ in bags:
-        (in_pos if label else in_neg).update(set().union(*sentences) if sentences else ())
+    held = [set().union(*b[1]) if b[1] else set() for b in bags]
+    family = families(held)
+    # words are counted once for each family of near copies, else all words of a toxic text with copies look toxic
+    n_pos, n_neg = (len({f for f, b in zip(family, bags) if b[0] == y}) for y in (1, 0))
+    where: dict[tuple[int, int], set] = {}
+    for words, f, b in zip(held, family, bags):
+        where.setdefault((b[0], f), set()).update(words)
+    in_pos, in_neg, learnt = Counter(), Counter(), Counter()
+    for (label, f), words in sorted(where.items(), key=lambda x: x[0]):
+        (in_pos if label else in_neg).update(words)
+        if not label and f % 5 > 1:  # the other clean texts show what scores unseen words get
+            learnt.update(words)
+    shown = learnt or in_neg
     strong = {}
     for w, c in in_pos.items():
         low, other = (c - 1.64 * np.sqrt(c)) / n_pos, (in_neg[w] + 1) / n_neg
@@ -222,14 +268,14 @@ def fit(bags: list[tuple[int, list[set[bytes]], str]], landmarks: int, seed: int
             return None
         strong = {best: 1.0}
     positive = sorted(strong)
-    negative = sorted(w for w in in_neg if len(w) >= 2)
+    negative = sorted(w for w in shown if len(w) >= 2)
     if not negative:
         return None
     picked = sorted(positive, key=lambda w: (-strong[w], w))[: landmarks // 2]
     lm_pos = _explicit(picked)
     if len(negative) > 40_000:  # the hardest and a uniform part
         drawn = [negative[k] for k in np.sort(rng.choice(len(negative), 40_000, replace=False))]
-        common = sorted(in_neg, key=lambda w: (-in_neg[w], w))[:20_000]
+        common = sorted(shown, key=lambda w: (-shown[w], w))[:20_000]
         negative = sorted(set(drawn) | {w for w in common if len(w) >= 2})
     near = np.concatenate([_kernel(_explicit(negative[a : a + 4000]), lm_pos).max(axis=1) for a in range(0, len(negative), 4000)])
     hard = np.argsort(-near, kind="stable")
@@ -242,7 +288,8 @@ def fit(bags: list[tuple[int, list[set[bytes]], str]], landmarks: int, seed: int
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])[None]  # K_mm^(-1/2) on its span
 
-    counter = [negative[k] for k in hard[:6000]] + [negative[k] for k in np.sort(rng.choice(len(negative), min(len(negative), 6000), replace=False))]
+    counter = [negative[k] for k in hard[:8000]] + [negative[k] for k in np.sort(rng.choice(len(negative), min(len(negative), 4000), replace=False))]
+    counter += sorted(shown, key=lambda w: (-shown[w], w))[:3000]
     counter = sorted(set(counter) - set(positive))
 
     def learn(pos: list[bytes]):
@@ -250,10 +297,13 @@ def fit(bags: list[tuple[int, list[set[bytes]], str]], landmarks: int, seed: int
         x = np.concatenate([_kernel(_explicit(words[a : a + 4000]), marks) @ root for a in range(0, len(words), 4000)])
         x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
         t = np.concatenate((np.ones(len(pos)), -np.ones(len(counter))))
-        w = squared_hinge(x, t, np.where(t > 0, max(1.0, len(counter) / max(len(pos), 1) / 4), 1.0), 0.3)
+        # every word by the documents it stands in: a common word that scores too high spoils many
+        weight = np.array([1 + np.log1p((in_pos if k < len(pos) else in_neg)[v]) for k, v in enumerate(words)])
+        weight[: len(pos)] *= max(1.0, weight[len(pos) :].sum() / weight[: len(pos)].sum() / 8)
+        w = squared_hinge(x, t, weight, 0.02)
         table = np.zeros(_CODES)
         np.add.at(table, marks[1], (root @ w[:-1])[marks[0]] * marks[2])
-        return Model(table, float(w[-1]), np.array([4.0, 0.0, 0.0]))
+        return Model(table, float(w[-1]), np.zeros(5))
 
     model = learn(positive)
     # second round: a toxic document without any of these words may hold another; its best word counts if clean documents lack it
@@ -269,19 +319,27 @@ def fit(bags: list[tuple[int, list[set[bytes]], str]], landmarks: int, seed: int
     if extra:
         model = learn(sorted(set(positive) | set(extra)))
 
-    texts = [t.encode() for _, _, t in bags]
-    facts = np.concatenate([model.documents(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts])
-    labels = np.array([b[0] for b in bags], float)
+    judged = [(b[0], b[2].encode()) for b, f in zip(bags, family) if b[0] or not learnt or f % 5 <= 1]
+    if all(y for y, _ in judged):
+        judged = [(b[0], b[2].encode()) for b in bags]
+    facts = np.concatenate([model.documents(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for _, t in judged])
+    labels = np.array([y for y, _ in judged], float)
+    return Model(model.weights, model.bias, calibrate(facts, labels))
+
+
+def calibrate(facts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Logistic regression of the label on a document's facts, by Newton steps."""
     x = np.concatenate((facts, np.ones((len(facts), 1))), axis=1)
-    w = np.zeros(3)
-    for _ in range(50):  # logistic regression by Newton steps
+    w = np.zeros(x.shape[1])
+    ridge = np.append(np.full(facts.shape[1], 0.02), 1e-4)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag([0.05, 0.05, 1e-4])
-        step = np.linalg.solve(h, x.T @ (labels - p) - np.array([0.05, 0.05, 0]) * w)
+        h = x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge)
+        step = np.linalg.solve(h, x.T @ (labels - p) - ridge * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    return Model(model.weights, model.bias, w)
+    return w
 
 
 def _kernel(left, right) -> np.ndarray:
