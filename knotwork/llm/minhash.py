@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands:
     def split_buckets(comps: DataFrame) -> DataFrame:
         """Members of buckets that hold several components, with the size of the bucket and whether their component is the bucket's largest."""
         now = members.join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        by = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main")).where("comps > 1")
-        return C.cut(now.join(by, "key").select("key", "id", "n", "comp", "members", (F.col("comp") == F.col("main")).alias("main")))
+        by = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("comps > 1")
+        return C.cut(now.join(by, "key").select("key", "id", "n", "comp", "members", "others", (F.col("comp") == F.col("main")).alias("main")))
 
     # first round: every member of a bucket against the one of its members that shares most buckets
     degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
@@ -176,10 +176,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands:
     # third round: what large buckets still hold outside their largest component, against all their members, block by block
     current = split_buckets(comps).where(F.col("members") > small)
     with_sets = current.join(sets.withColumnRenamed("doc_id", "id"), "id")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    each = F.explode(F.sequence(F.lit(0), blocks - 1))
-    outside = with_sets.where(~F.col("main")).select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("x"), each.alias("y"), "id", "comp", "shingles")
-    whole = with_sets.select(F.col("key").alias("key"), each.alias("x"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("y"), *(F.col(c).alias(c) for c in ("id", "comp", "shingles")))
+    xs, ys = (F.ceil(F.col(c) / block).cast("int") for c in ("others", "members"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outside = with_sets.where(~F.col("main")).select("key", F.pmod(F.xxhash64("id"), xs).cast("int").alias("x"), each(ys).alias("y"), "id", "comp", "shingles")
+    whole = with_sets.select(F.col("key").alias("key"), each(xs).alias("x"), F.pmod(F.xxhash64("id"), ys).cast("int").alias("y"), *(F.col(c).alias(c) for c in ("id", "comp", "shingles")))
     whole = whole.select(*(F.col(c).alias(c) for c in whole.columns))  # columns of their own, for the cogroup
     found = C.cut(outside.groupBy("key", "x", "y").cogroup(whole.groupBy("key", "x", "y")).applyInArrow(_compare(percent), "u long, v long").distinct())
     links = links.unionByName(found)
