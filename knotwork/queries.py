@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from knotwork.session import query
 from knotwork.sources import tables
 
+#: The iid of the region with key 2: the number of the type in the catalog, then the key.
+_REGION_2 = f"0x{list(tables.catalog().types).index('region'):04x}{2:016x}"
+
 # name: (query, SQL). Sums are over whole numbers, so that no order of additions shows.
 TEXTS: dict[str, tuple[str, str]] = {
     "flagship": (
@@ -44,7 +47,7 @@ TEXTS: dict[str, tuple[str, str]] = {
     "links_chain": ("match residence (resident: $c, place: $n); $c isa customer; location (inner: $n, outer: $r); $r has r_name $name; reduce $k = count groupby $name;", "SELECT r_name AS name, count(*) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
     "is_concept": ("match $x isa nation; $y isa nation; $x is $y; $x has n_name $a; $y has n_name $b; select $a, $b;", "SELECT n_name AS a, n_name AS b FROM nation"),
     "is_alias": ("match $x isa region, has r_name $a; $y is $x; $y has r_regionkey $k; select $a, $k;", "SELECT r_name AS a, r_regionkey::BIGINT AS k FROM region"),
-    "iid_lookup": ('match $x isa region, has r_name $n; let $i = iid($x); $x iid 0x00260000000000000002; select $n, $i;', None),
+    "iid_lookup": (f'match $x isa region, has r_name $n; let $i = iid($x); $x iid {_REGION_2}; select $n, $i;', f"SELECT r_name AS n, '{_REGION_2}' AS i FROM region WHERE r_regionkey = 2"),
     "theta_join": ("match $a isa nation, has n_nationkey $x; $b isa nation, has n_nationkey $y; $x < $y; reduce $n = count;", "SELECT count(*) AS n FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey"),
     "compare_other_kind": ('match $r isa region, has r_name $n, has r_regionkey $k; not { $k == $n; }; select $n;', "SELECT r_name AS n FROM region"),
     "not_pattern": ("match $c isa customer, has c_custkey $k; not { placement (buyer: $c); }; select $k;", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
@@ -109,6 +112,8 @@ TEXTS: dict[str, tuple[str, str]] = {
     "meta_key": ('match $t label nation; let $d = get_meta("level", $t); select $d;', "SELECT '2' AS d"),
     "meta_owns_doc": ("match $t label customer; $a label c_mktsegment; let $d = get_owns_doc($t, $a); select $d;", "SELECT 'market segment' AS d"),
     "meta_plays_doc": ("match $t label region; $r label location:outer; let $d = get_plays_doc($t, $r); select $d;", "SELECT 'regions hold nations' AS d"),
+    "meta_relates_sub": ("match $t label placement; $r label placement:buyer; let $d = get_relates_doc($t, $r); $s label customer; $u label party; let $e = get_sub_doc($s, $u); let $m = get_relates_meta(\"k\", $t, $r); select $d, $e, $m;", "SELECT '' AS d, 'a party that buys' AS e, 'v' AS m"),
+    "meta_fun": ("with fun one() -> integer @doc(\"always one\") @meta(\"a\", \"b\"): match let $x = 1; return first $x; match let $d = get_fun_doc(\"one\"); let $k, $v in get_fun_all_meta(\"one\"); let $o = one(); select $d, $k, $v, $o;", "SELECT 'always one' AS d, 'a' AS k, 'b' AS v, 1::BIGINT AS o"),
     "meta_all": ("match $t label nation; let $k, $v in get_all_meta($t); select $k, $v;", "SELECT 'level' AS k, '2' AS v"),
     "match_match": ("match $c isa customer, has c_custkey $k; match placement (order: $o, buyer: $c); $o has o_totalprice $p; select $k, $p;", "SELECT o_custkey AS k, o_totalprice AS p FROM orders"),
     "reduce_match": ("match placement (buyer: $c); reduce $n = count groupby $c; match $c has name $x; $n > 10; select $x, $n;", "SELECT c_name AS x, n FROM (SELECT o_custkey, 1::BIGINT AS n FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey WHERE n > 10"),

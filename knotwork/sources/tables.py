@@ -27,7 +27,7 @@ attribute vec_id value integer; attribute cluster value integer;
 entity region, owns r_regionkey @key, owns r_name, plays location:outer @doc("regions hold nations");
 entity nation @doc("a country") @meta("level", "2"), owns n_nationkey @key, owns n_name, plays location:inner, plays residence:place;
 entity party @abstract, owns name, owns acctbal, plays residence:resident;
-entity customer sub party, owns c_custkey @key, owns c_mktsegment @doc("market segment"), plays placement:buyer;
+entity customer sub party @doc("a party that buys"), owns c_custkey @key, owns c_mktsegment @doc("market segment"), plays placement:buyer;
 entity supplier sub party, owns s_suppkey @key, plays line-item:vendor;
 entity part, owns p_partkey @key, owns p_name, owns p_brand, owns p_type, owns p_size, owns p_retailprice, plays line-item:item;
 entity order, owns o_orderkey @key, owns o_orderstatus, owns o_totalprice, owns o_orderdate, owns o_orderpriority, plays line-item:order, plays placement:order;
@@ -40,7 +40,7 @@ entity vector, owns vec_id @key, owns cluster;
 
 relation location, relates inner @card(1), relates outer @card(1);
 relation residence, relates resident @card(1), relates place @card(1);
-relation placement, relates order @card(1), relates buyer @card(1);
+relation placement, relates order @card(1), relates buyer @card(1) @meta("k", "v");
 relation line-item, relates order @card(1), relates item @card(1), relates vendor @card(1), owns l_linenumber, owns l_quantity, owns l_extendedprice, owns l_discount, owns l_tax, owns l_returnflag, owns l_linestatus, owns l_shipdate;
 relation labelling, relates subject @card(1), owns quality, owns toxic;
 relation reply, relates prev @card(1), relates next @card(1);
