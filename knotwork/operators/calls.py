@@ -20,7 +20,7 @@ from knotwork.operators import stages
 from knotwork.plans import ast as A
 from knotwork.plans.infer import OBJECTS
 from knotwork.plans.plan import Info, Plan, tag
-from knotwork.sources.scratch import cut, remove
+from knotwork.sources.scratch import counted, cut
 
 
 def called(items) -> set[tuple[str, bool]]:
@@ -273,9 +273,8 @@ class Tabling:
         self.c.tabled = self
         fresh_calls = {f.name: cut(wide.distinct())}
         fresh_answers: dict[str, DataFrame] = {}
-        old: list[DataFrame] = []
         try:
-            for _ in range(self.MOST_ROUNDS):
+            for turn in range(self.MOST_ROUNDS):
                 for g, new in fresh_calls.items():
                     self.calls[g] = new if self.calls[g] is None else self.calls[g].unionByName(new)
                 self.asked = {}
@@ -291,24 +290,24 @@ class Tabling:
                 new_answers, new_calls = {}, {}
                 for g, frames in produced.items():
                     df = fold(lambda a, b: a.unionByName(b), frames).distinct()
-                    df = cut(df if self.answers[g] is None else _without(df, self.answers[g]))
-                    if not df.isEmpty():
+                    df, n = counted(df if self.answers[g] is None else _without(df, self.answers[g]))
+                    if n:
                         new_answers[g] = df
                 for g, frames in self.asked.items():
                     df = fold(lambda a, b: a.unionByName(b), frames).distinct()
-                    df = cut(df if self.calls[g] is None else _without(df, self.calls[g]))
-                    if not df.isEmpty():
+                    df, n = counted(df if self.calls[g] is None else _without(df, self.calls[g]))
+                    if n:
                         new_calls[g] = df
                 if not new_answers and not new_calls:
                     break
                 for g, new in new_answers.items():
                     self.answers[g] = new if self.answers[g] is None else self.answers[g].unionByName(new)
-                    if len(self.answers[g].inputFiles()) > 200:  # many small tables: one
-                        self.answers[g] = cut(self.answers[g])
+                if turn % 8 == 7:  # many small tables become one
+                    for table in (self.answers, self.calls):
+                        table.update({g: cut(df) for g, df in table.items() if df is not None})
                 fresh_calls, fresh_answers = new_calls, new_answers
         finally:
             self.c.tabled = outer
-        remove(*old)
         infos = self.infos[f.name]
         found = self.answers[f.name]
         if found is None:

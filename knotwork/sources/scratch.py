@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -33,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(), and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, int(seen.get["n"])
+
+
 def remove(*tables: DataFrame | None) -> None:
     for t in tables:
         if t is not None and getattr(t, "_scratch", None):
