@@ -461,3 +461,23 @@ def test_toxicity_learns_insults_and_their_variants(spark, odd, none):
     assert toxicity.predict(odd, model).count() == len(ODD) and toxicity.predict(none, model).count() == 0
     assert toxicity.train(docs, docs.select("doc_id", "toxic").where("toxic = 1")) is None
     assert {r["score"] for r in toxicity.predict(odd, None).collect()} == {0.0}
+
+
+def test_every_repeat_of_fifty_words_is_found(spark):
+    """On a whole table: each run of 50 words that stands in a document with a smaller id is inside a passage that is found, but for a few words at its ends."""
+    import re
+
+    folder = "/root/testdata/sf0.01"
+    found = {}
+    for r in queries.QUERIES["op7_substring"](spark, folder).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    lower = {k: k + 32 for k in range(65, 91)}
+    seen = {}
+    for r in C.read(spark, folder, "documents").orderBy("doc_id").select("doc_id", "text").collect():
+        w = re.findall(r"[^\x20\x09-\x0d]+", (r["text"] or "").translate(lower))
+        runs = {tuple(w[k : k + 50]): k for k in range(len(w) - 49)}
+        for run, k in runs.items():
+            if seen.get(run, r["doc_id"]) != r["doc_id"]:
+                assert any(a <= k + 5 and k + 45 <= b for a, b in found.get(r["doc_id"], ())), (r["doc_id"], k)
+        for run in runs:
+            seen.setdefault(run, r["doc_id"])
