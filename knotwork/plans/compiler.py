@@ -441,8 +441,9 @@ class Compiler:
         if plan is not None:
             df, have = plan.df, set(plan.vars)
         elif todo:
-            named_first = [p for p in todo if any(named(v) for v in p.vars)] or todo
-            start = max(named_first, key=lambda p: (p.filters, len(p.vars)))
+            # a part that only has to exist for the others comes later, as the right side of a semi join
+            alone = lambda p: {v for v in p.vars if (named(v) or v in used_later) and not any(v in q.vars for q in todo if q is not p)}
+            start = max(todo, key=lambda p: (bool(alone(p)), p.filters, sum(map(named, p.vars)), len(p.vars)))
             todo.remove(start)
             df, have = start.df, set(start.vars)
         else:

@@ -28,6 +28,7 @@ def test_same_as_sql(spark, duck, name):
 
 
 def test_scans_are_shared_and_pruned(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = queries.QUERIES["flagship"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2  # placement and order are one scan of orders
     assert "o_totalprice" in plan and "c_name" not in plan and "PushedFilters" in plan
