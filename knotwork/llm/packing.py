@@ -11,56 +11,91 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from knotwork.llm import common as C
 
-#: Words that a worker keeps the ids of. A word that is not kept is encoded anew.
-CACHE_WORDS = 500_000
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+#: White-space separated parts, and words in them, that a worker keeps the ids of. One that is not kept is encoded anew.
+CACHE_PARTS, CACHE_WORDS = 350_000, 250_000
+#: Texts without these characters are composed already, lower-cased alike by Python and the
+#: tokenizer, and cut by _WORDS as by the tokenizer's own pattern: Latin letters up to U+024F but
+#: dotted I, no fractions and superscripts, no separators U+001C to U+001F.
+_UNUSUAL = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]")
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+class _Words(dict):
+    """Ids of words that are lower-cased and cut already: what is left of the tokenizer for them is its merges."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the letter that stands for each byte, learnt from characters of one and two bytes
+        self.letters = {}
+        for cp in range(0x250):
+            raw = chr(cp).encode()
+            self.letters.update(zip(raw, level.pre_tokenize_str(chr(cp))[0][0]))
+
+    def __missing__(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(spelled)]
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+class _Parts(dict):
+    """Ids of white-space separated parts."""
+
+    def __init__(self, words: _Words):
+        self.words = words
+
+    def __missing__(self, part: str) -> bytes:
+        words = self.words
+        out = self[part] = words[part] if part.isalpha() else b"".join([words[w] for w in _WORDS.findall(part)])
+        return out
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core
-    import regex
-    from tokenizers import Tokenizer
-
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    words = _Words(t.model)
     # White space as the tokenizer's own pattern has it; no token crosses it.
-    return t, regex.compile(r"[^\p{White_Space}]+"), {}
+    return t, regex.compile(r"[^\p{White_Space}]+"), words, _Parts(words), {}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and its pre-tokens never span any, and neither composition nor
-    lower-casing looks across it, so a text's ids are those of its white-space separated parts.
-    Parts repeat; each is encoded once while the cache holds it.
+    The tokenizer lower-cases, drops white space and merges inside words only, so a text's ids are
+    those of its white-space separated parts, and theirs those of their words. Both repeat, and
+    each is encoded once while a cache holds it. Texts with unusual characters are cut at white
+    space only, and those parts are left to the tokenizer.
     """
-    t, parts, known = _tokenizer(path)
-    # str.split() also splits at U+001C to U+001F, which are no white space for the tokenizer
-    split = [parts.findall(x) if _SEPARATORS.search(x) else x.split() for x in texts]
-    new = list({p for s in split for p in s if p not in known})
-    fresh = {}
-    for a in range(0, len(new), 20_000):
-        chunk = new[a : a + 20_000]
-        for p, e in zip(chunk, t.encode_batch(chunk, add_special_tokens=False)):
-            fresh[p] = np.array(e.ids, "<u4").tobytes()
-    look = known
-    if len(known) + len(fresh) > CACHE_WORDS:
-        look = known | fresh
-        known.clear()
-    if len(fresh) <= CACHE_WORDS:
-        known.update(fresh)
-    return [b"".join([look[p] for p in s]) for s in split]
+    t, chunks, words, parts, odd = _tokenizer(path)
+    out: list[bytes] = []
+    for x in texts:
+        if not _UNUSUAL.search(x):
+            out.append(b"".join(map(parts.__getitem__, x.lower().split())))
+            continue
+        split = chunks.findall(x)
+        new = list({p for p in split if p not in odd})
+        odd |= {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, t.encode_batch(new, add_special_tokens=False))}
+        out.append(b"".join(map(odd.__getitem__, split)))
+    for known, most in ((words, CACHE_WORDS), (parts, CACHE_PARTS), (odd, CACHE_WORDS)):
+        if len(known) > most:
+            known.clear()
+    return out
 
 
 def pieces(docs: DataFrame, *, tokenizer: str, end_id: int = 2, most: int = 4096, keep_ids: bool = False) -> DataFrame:
