@@ -195,7 +195,7 @@ def body(c, f: A.Function, seeds: DataFrame, params: list[Info], infos: list[Inf
         if info.tagged:
             df = df.withColumn(tag(v.name), F.col(f"`#p{k}#t`"))
         vars[v.name] = info
-    plan = stages.run(c, Plan(df, vars, hidden), f.stages)
+    plan = stages.run(c, Plan(df, vars, hidden, unique=True), f.stages)
     hid = [F.col(f"`{h}`") for h in hidden]
     ret = f.ret
     if ret.mode in ("stream", "first", "last"):

@@ -179,7 +179,7 @@ class _Rows:
             hidden.append(f"#h{k}")
         if not keys:
             hidden = ["#h"]
-        inner = Plan(df, {v: self.plan.vars[v] for v in outer}, hidden)
+        inner = Plan(df, {v: self.plan.vars[v] for v in outer}, hidden, unique=True)
         body = [s for s in x.stages if not isinstance(s, A.Fetch)]
         tail = next((s for s in x.stages if isinstance(s, A.Fetch)), None)
         if tail is not None:

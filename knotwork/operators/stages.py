@@ -45,7 +45,7 @@ def sort(plan: Plan, s: A.Sort) -> Plan:
         if i.kind == "attr" and len({k for k in [i.value]}) and i.value == "duration" or i.kind == "list":
             raise QueryError(f"${v} has no order")
     out = plan if plan.hidden else plan.with_df(plan.df.orderBy(*sort_columns(plan, keys)))
-    return Plan(out.df, out.vars, out.hidden, keys)
+    return Plan(out.df, out.vars, out.hidden, keys, plan.unique)
 
 
 def _ranked(plan: Plan):
@@ -73,7 +73,7 @@ def require(plan: Plan, s: A.Require) -> Plan:
 
 
 def distinct(plan: Plan, _: A.Distinct) -> Plan:
-    return plan.with_df(plan.df.distinct())
+    return Plan(plan.df.distinct(), plan.vars, plan.hidden, plan.order, True)
 
 
 def aggregate(plan: Plan, name: str, v: str | None):
@@ -121,7 +121,7 @@ def reduce(plan: Plan, s: A.Reduce) -> Plan:
         aggs.append(col.alias(out.name))
         vars[out.name] = Info("value", value=kind, optional=name not in ("count", "sum"))
     groups = [F.col(f"`{c}`") for c in [*(plan.columns(*by) if by else []), *plan.hidden]]
-    return Plan(plan.df.groupBy(*groups).agg(*aggs) if groups else plan.df.agg(*aggs), vars, plan.hidden)
+    return Plan(plan.df.groupBy(*groups).agg(*aggs) if groups else plan.df.agg(*aggs), vars, plan.hidden, unique=True)
 
 
 STAGES = {A.Select: select, A.Sort: sort, A.Offset: offset, A.Limit: limit, A.Require: require, A.Distinct: distinct, A.Reduce: reduce}

@@ -90,21 +90,23 @@ class Compiler:
         check_scopes(pattern.items, set(plan.vars) if plan else set())
         before = self.branches
         out, dirty = self.extend(plan, pattern)
-        if dirty and plan is not None and plan.vars:
-            self.branches = before
-            rid = Plan(plan.df.withColumn("#rid", F.monotonically_increasing_id()), plan.vars, [*plan.hidden, "#rid"])
-            out, _ = self.extend(rid, pattern)
-            out.hidden = [*plan.hidden]
+        unique = plan is None or plan.unique or not plan.vars
         visible = [v for v in out.vars if named(v)]
-        extra = [c for c in out.df.columns if c == "#rid" or c.startswith("#branch")]
         if dirty:
-            keep = [*out.columns(*visible), *out.hidden] if visible else list(out.hidden)
-            marks = [c for c in extra if c == "#rid" or not self.dedup_branches]
-            if keep or marks:
-                out.df = out.df.select(*(F.col(f"`{c}`") for c in [*keep, *marks])).distinct()
-            else:
-                out.df = out.df.limit(1)
-        return out.only(visible)
+            if not unique:  # equal input rows are worked on once, and come back as often as they were there
+                self.branches = before
+                once = plan.df.groupBy(*(F.col(f"`{c}`") for c in [*plan.columns(), *plan.hidden])).agg(F.count(F.lit(1)).alias("#many"))
+                out, _ = self.extend(Plan(once, plan.vars, [*plan.hidden, "#many"]), pattern)
+            marks = [] if self.dedup_branches else [c for c in out.df.columns if c.startswith("#branch")]
+            keep = [*(out.columns(*visible) if visible else []), *out.hidden, *marks]
+            out.df = out.df.select(*(F.col(f"`{c}`") for c in keep)).distinct() if keep else out.df.limit(1)
+            if not unique:
+                out.df = out.df.withColumn("#k", F.explode(F.array_repeat(F.lit(0), F.col("#many").cast("int")))).drop("#k", "#many")
+                out.hidden = list(plan.hidden)
+            unique = unique and not marks
+        out = out.only(visible)
+        out.unique = unique and not any(c.startswith("#branch") for c in out.df.columns)
+        return out
 
     def extend(self, plan: Plan | None, pattern: A.Pattern, deferred: list | None = None) -> tuple[Plan, bool]:
         """plan joined with a pattern, and whether rows may come more than once. Comparisons on variables that neither binds go to `deferred` where it is given."""
@@ -752,7 +754,7 @@ class Compiler:
                     df = df.withColumn(tag(v), F.col(f"`#r{tag(v)}`"))
                 i = right.vars[v]
                 vars[v] = Info(i.kind, i.types, i.value, True)
-        return Plan(df.drop(*(x for x in df.columns if x.startswith("#r") and x != "#rid")), vars, plan.hidden, plan.order), False
+        return Plan(df.drop(*(x for x in df.columns if x.startswith("#r"))), vars, plan.hidden, plan.order), False
 
     def _alone(self, pattern: A.Pattern, outer: Plan, deferred: list) -> tuple[Plan | None, bool]:
         """A nested pattern by itself, typed by the variables around it."""

@@ -39,6 +39,7 @@ class Plan:
     vars: dict[str, Info]
     hidden: list[str] = field(default_factory=list)  # columns that go along: the arguments of a function call
     order: list = field(default_factory=list)
+    unique: bool = False  # whether no two rows are equal
 
     def columns(self, *names: str) -> list[str]:
         out = []

@@ -250,3 +250,10 @@ def test_wrong_reads(people):
     for bad in ("match $p isa person; select $q;", "match $p isa person, has name $n; reduce $s = sum($n);", "match $p isa person; reduce $s = max($p);", 'match $p isa person, has name $n; $n like $n;', "match let $x = $y + 1;", "match not { try { $p isa person; }; };", "match $p isa person; fetch { \"a\": 1 }; select $p;"):
         with people.transaction() as tx, pytest.raises(QueryError):
             tx.query(bad)
+
+
+def test_equal_input_rows_come_back_as_often(database, spark):
+    db = database(PEOPLE, 'insert $x isa person, has age 1, has age 2, has name "a"; $y isa person, has age 3, has name "b";')
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "n string")
+    assert ask(db, "given $n: string; match $p isa person, has name == $n, has age $_; select $n;", df) == [("a",), ("a",), ("b",)]
+    assert len(ask(db, "given $n: string; match $p isa person, has name == $n; { $p has age 1; } or { $p has age > 0; }; select $n;", df)) == 5
