@@ -351,3 +351,30 @@ class Transaction:
 
     def close(self) -> None:
         self.open = False
+
+
+def profile(df: DataFrame) -> list[dict]:
+    """Runs a query's DataFrame and gives the nodes of its final plan with their metrics."""
+    execution = df._jdf.queryExecution()
+    execution.toRdd().count()
+    out: list[dict] = []
+
+    def walk(node, depth: int) -> None:
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            walk(node.executedPlan(), depth)
+            return
+        if name.endswith("QueryStage"):
+            walk(node.plan(), depth)
+            return
+        metrics, it = {}, node.metrics().iterator()
+        while it.hasNext():
+            pair = it.next()
+            metrics[pair._1()] = pair._2().value()
+        out.append({"node": name, "depth": depth, "metrics": metrics})
+        children = node.children()
+        for k in range(children.length()):
+            walk(children.apply(k), depth + 1)
+
+    walk(execution.executedPlan(), 0)
+    return out

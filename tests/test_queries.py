@@ -47,3 +47,10 @@ def test_existence_is_a_semi_join(spark):
     df = query(spark, tables.catalog(), tables.store(spark, FOLDER), "match $c isa customer, has c_custkey $k; placement (buyer: $c); select $k;")
     assert "LeftSemi" in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_custkey").distinct().count()
+
+
+def test_profile_has_row_counts(spark):
+    from knotwork.session import profile
+
+    nodes = profile(queries.QUERIES["isa_scan"](spark, FOLDER))
+    assert any(n["metrics"].get("numOutputRows") == 5 for n in nodes)
