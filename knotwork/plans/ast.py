@@ -356,3 +356,11 @@ class Undefine:
     kind: str | None = None
     capability: Capability | None = None
     annotation: str | None = None
+
+
+@dataclass
+class Rename:
+    """In redefine: a type or a role gets another name."""
+
+    label: Label
+    to: str

@@ -267,10 +267,16 @@ class Transaction:
                 raise QueryError("schema queries need a schema transaction")
             before = self.catalog.copy()
             self.catalog.apply(p)
+            tables, moved = dict(self.store.tables), before.copy()
             try:
                 calls.check(self.catalog.functions)
-                self._fits(before)
+                for r in p.items:
+                    if isinstance(r, A.Rename):
+                        moved.rename(r)
+                        self._rename(r)
+                self._fits(moved)
             except Exception:
+                self.store.tables = tables
                 self.catalog.types, self.catalog.functions, self.catalog.structs = before.types, before.functions, before.structs
                 raise
             self.schema_changed = True
@@ -291,6 +297,28 @@ class Transaction:
             self.store.tables = before
             raise
 
+    def _rename(self, r: A.Rename) -> None:
+        """Tables of a type or role that has another name."""
+        old, new = (str(r.label), f"{r.label.scope}:{r.to}") if r.label.scope else (r.label.name, r.to)
+        out = {}
+        for name, df in self.store.tables.items():
+            kind, label = name.split("/", 1)
+            target = f"{kind}/{new}" if label == old else name
+            fixed = df
+            for c in ("owner_type", "player_type"):
+                if c in df.columns and not r.label.scope:
+                    fixed = fixed.withColumn(c, F.when(F.col(c) == old, new).otherwise(F.col(c)))
+            if "role" in df.columns:
+                role = F.when(F.col("role") == old, new).otherwise(F.col("role"))
+                if not r.label.scope:
+                    role = F.when(F.substring_index("role", ":", 1) == old, F.concat(F.lit(new + ":"), F.substring_index("role", ":", -1))).otherwise(F.col("role"))
+                fixed = fixed.withColumn("role", role)
+            out[target] = fixed
+            if target != name or fixed is not df:
+                self.writer.changed.add(target)
+        self.store.tables = out
+        self.paths = {n: p for n, p in self.paths.items() if n in out}
+
     def _fits(self, before: Catalog) -> None:
         """A changed schema holds for the data that is there."""
         for label, t in before.types.items():

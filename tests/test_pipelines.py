@@ -257,3 +257,15 @@ def test_equal_input_rows_come_back_as_often(database, spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "n string")
     assert ask(db, "given $n: string; match $p isa person, has name == $n, has age $_; select $n;", df) == [("a",), ("a",), ("b",)]
     assert len(ask(db, "given $n: string; match $p isa person, has name == $n; { $p has age 1; } or { $p has age > 0; }; select $n;", df)) == 5
+
+
+def test_types_and_roles_can_be_renamed(people):
+    for text in ("redefine person label human;", "redefine membership:member label participant;", "redefine membership label belonging;", "redefine age label years;"):
+        with people.transaction("schema") as tx:
+            tx.query(text)
+            tx.commit()
+    assert ask(people, "match belonging (participant: $p, group: $g); $p isa human, has name $n, has years $y; select $n, $y;") == [("John", 10)]
+    with people.transaction("schema") as tx, pytest.raises(SchemaError):
+        tx.query("redefine human label organisation;")
+    with people.transaction("schema") as tx, pytest.raises(QueryError):
+        tx.query("redefine person label x;")
