@@ -21,8 +21,17 @@ from knotwork.llm import common as C
 
 def _unit(batch: pa.RecordBatch, column: str) -> np.ndarray:
     flat = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    v = flat.reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
-    return v / np.sqrt((v * v).sum(axis=1, keepdims=True)) if len(v) else v
+    return _normal(flat.reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, 0))
+
+
+def _normal(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _packed(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Unit vectors from their bytes, in double precision."""
+    raw = b"".join(column.to_pylist())
+    return _normal(np.frombuffer(raw, kind).astype(np.float64).reshape(len(column), -1))
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -84,7 +93,55 @@ def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :half], x[:, half:] if x.shape[1] > 1 else np.zeros((len(x), 1))
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.97, sample: int = 20_000, per_cell: int = 256, block: int = 2048, seed: int = 5) -> DataFrame:
+def _groups(p: np.ndarray, q: np.ndarray, n: int, names: np.ndarray) -> np.ndarray:
+    """Smallest name in the component of each of n nodes under links (p, q)."""
+    label = names.copy()
+    while True:
+        low = np.minimum(label[p], label[q])
+        new = label.copy()
+        np.minimum.at(new, p, low)
+        np.minimum.at(new, q, low)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _compare(cosine: float, kind: str):
+    """Links between visitors of a cell and its members: how many copies each is linked with, and one node of its component here.
+
+    A link is counted once at either end: at the visitor always, at the member only if the member
+    does not visit the visitor's cell in its turn. So no pairs leave the block.
+    """
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        empty = np.zeros(0, np.int64)
+        ids, counts, stars = empty, empty, empty
+        if a.num_rows and b.num_rows:
+            x, y = _packed(a.column("vec"), kind), _packed(b.column("vec"), kind)
+            i, j, ci, cj = (t.column(c).to_numpy() for t, c in ((a, "id"), (b, "id"), (a, "copies"), (b, "copies")))
+            homes, home = np.unique(a.column("home").to_numpy(), return_inverse=True)
+            returns = np.array([np.isin(homes, np.array(c)) for c in b.column("cells").to_pylist()]).reshape(len(j), len(homes))
+            nx, ny, ps, qs = np.zeros(len(i), np.int64), np.zeros(len(j), np.int64), [], []
+            for s in range(0, len(x), 512):
+                p, q = np.nonzero((x[s : s + 512] @ y.T >= cosine) & (i[s : s + 512, None] != j[None]))
+                p += s
+                np.add.at(nx, p, cj[q])
+                once = ~returns[q, home[p]]
+                np.add.at(ny, q[once], ci[p[once]])
+                ps.append(p), qs.append(q + len(i))
+            p, q = np.concatenate(ps), np.concatenate(qs)
+            names = np.concatenate((i, j))
+            star = _groups(p, q, len(names), names)
+            n = np.concatenate((nx, ny))
+            linked = np.zeros(len(names), bool)
+            linked[p] = linked[q] = True
+            ids, counts, stars = names[linked], n[linked], star[linked]
+        return pa.table({"u": pa.array(ids, pa.int64()), "n": pa.array(counts, pa.int64()), "v": pa.array(stars, pa.int64())})
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.95, sample: int = 20_000, per_cell: int = 512, block: int = 2048, seed: int = 5) -> DataFrame:
     """Links of vectors with a cosine of at least `cosine`, and what they join.
 
     vectors: vec_id (long, unique, not null) and embedding (list of numbers, one length); other
@@ -96,10 +153,11 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float =
     sample bounds the vectors that the codebooks are fitted on (those with the smallest hashes);
     every vector is indexed. Equal vectors are one class and are indexed once; their links are
     counted from the class's size. A cell is compared in blocks of about `block` members and
-    `block` visitors, so a hot cell is split over many tasks.
+    `block` visitors, so a hot cell is split over many tasks, and a block gives counts and one
+    link a vector, not its pairs.
     """
-    spark = vectors.sparkSession
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     sound = src.where("v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(v, x -> x <> 0)")
     widths = sound.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     if not widths:
@@ -117,38 +175,24 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float =
             x = _unit(batch, "v")
             if not len(x):
                 continue
+            raw = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(x), -1)
             d = [_distances(part, b) for part, b in zip(_halves(x), books)]
             lists = [[i * width + j for i, j in multi_sequence(d[0][n], d[1][n], visits)] for n in range(len(x))]
             home = d[0].argmin(axis=1) * width + d[1].argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["id", "v", "home", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["id", "copies", "vec", "home", "cells"])
 
-    indexed = C.cut(classes.select("id", "v").mapInArrow(cells, "id long, v array<double>, home long, cells array<long>"))
+    indexed = C.cut(classes.select("id", "copies", "v").mapInArrow(cells, "id long, copies long, vec binary, home long, cells array<long>"))
     stored = indexed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("sb"))
-    visitors = indexed.select("id", "v", F.explode("cells").alias("cell"))
     guests = indexed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("vb"))
     grid = stored.join(guests, "cell")
-    left = visitors.join(grid, "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(1)), "vb").alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("sb") - 1)).alias("sb"), "id", "v")
-    right = indexed.withColumnRenamed("home", "cell").join(grid, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vb") - 1)).alias("vb"), F.pmod(F.xxhash64("id", F.lit(2)), "sb").alias("sb"), "id", "v")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    visitors = indexed.select("id", "copies", "vec", "home", F.explode("cells").alias("cell"))
+    left = visitors.join(grid, "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(1)), "vb").alias("vb"), each("sb").alias("sb"), "id", "copies", "vec", "home")
+    right = indexed.withColumnRenamed("home", "cell").join(grid, "cell").select("cell", each("vb").alias("vb"), F.pmod(F.xxhash64("id", F.lit(2)), "sb").alias("sb"), "id", "copies", "vec", "cells")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of their own, for the cogroup
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        us, vs = [], []
-        if a.num_rows and b.num_rows:
-            x, y = (np.concatenate([_unit(r, "v") for r in t.select(["v"]).combine_chunks().to_batches() if r.num_rows]) for t in (a, b))
-            i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
-            for s in range(0, len(x), 512):
-                p, q = np.nonzero(x[s : s + 512] @ y.T >= cosine)
-                p += s
-                keep = i[p] != j[q]
-                us.append(np.minimum(i[p], j[q])[keep]), vs.append(np.maximum(i[p], j[q])[keep])
-        u, v = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    links = C.cut(left.groupBy("cell", "vb", "sb").cogroup(right.groupBy("cell", "vb", "sb")).applyInArrow(compare, "u long, v long").distinct())
-    size = classes.select(F.col("id").alias("v"), "copies")
-    ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    others = ends.join(size, "v").groupBy("u").agg(F.sum("copies").alias("linked"))
-    comps = C.components(links)
+    found = C.cut(left.groupBy("cell", "vb", "sb").cogroup(right.groupBy("cell", "vb", "sb")).applyInArrow(_compare(cosine, kind), "u long, n long, v long"))
+    others = found.groupBy("u").agg(F.sum("n").alias("linked"))
+    comps = C.components(found.select("u", "v"))
     facts = classes.join(others, classes["id"] == others["u"], "left").join(comps, classes["id"] == comps["node"], "left")
     facts = facts.select(F.col("v").alias("same"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     own = sound.join(facts, sound["v"] == facts["same"]).select("vec_id", "n_links", "component_id")
