@@ -24,6 +24,16 @@ from knotwork.sources.store import EdgeStore
 _AND = lambda a, b: a & b
 
 
+class _Edges:
+    """What a stage adds to each table, as columns of its rows."""
+
+    def __init__(self):
+        self.rows: dict[str, list] = {}
+
+    def add(self, table: str, row, where) -> None:
+        self.rows.setdefault(table, []).append((row, where))
+
+
 class Writer:
     def __init__(self, compiler, store: EdgeStore, next_id: int = 0):
         self.c, self.store, self.catalog = compiler, store, compiler.catalog
@@ -73,7 +83,7 @@ class Writer:
         for x in items:
             if isinstance(x, (A.Or, A.Not, A.Iid, A.Is, A.Let)):
                 raise QueryError(f"{type(x).__name__.lower()} cannot be inserted")
-        df, vars = rows.df, dict(rows.vars)
+        vars = dict(rows.vars)
         values = {x.left.name: x.right for x in items if isinstance(x, A.Compare) and isinstance(x.left, A.Var) and x.op == "=="}
         attr_types: dict[str, str] = {}
         for x in items:
@@ -83,6 +93,7 @@ class Writer:
                 known = vars.get(x.attr.name)
                 if known is None or known.kind == "value":
                     attr_types.setdefault(x.attr.name, resolve(self.catalog, x.type))
+        new, edges, checks = {}, _Edges(), []
         for v, label in attr_types.items():
             t = self.catalog.type(label)
             if t.kind != "attribute":
@@ -90,24 +101,24 @@ class Writer:
             if t.abstract:
                 raise WriteError(f"{label} is abstract")
             kind = self.catalog.value_type(label)
-            if v in vars:
-                value = V.cast(Plan(df, vars).value(v), kind)
+            if v in rows.vars:
+                value = V.cast(rows.value(v), kind)
             elif v in values:
                 e = values[v]
                 if not isinstance(e, (A.Var, A.Lit)):
                     raise QueryError("expressions cannot be written")
-                value = V.cast(E.compile(e, Plan(df, vars).value), kind)
+                value = V.cast(E.compile(e, rows.value), kind)
             else:
                 raise WriteError(f"${v} has no value")
-            name = v if v not in vars else v
-            df = df.withColumn(name, value.col)
+            new[v] = value.col
             vars[v] = Info("attr", frozenset([label]), kind)
-            self._check_value(df, v, label, self.catalog.value_notes(label))
-            if "independent" in {f for n in self.catalog.supers(label) for f in self.catalog.types[n].notes.flags}:
-                self._add(f"attr/{label}", df.select(F.col(f"`{v}`").alias("value")).where("value IS NOT NULL"))
-        news = [x for x in items if isinstance(x, A.Isa) and x.thing.name not in attr_types]
+            checks += self._value_checks(v, label, self.catalog.value_notes(label))
+            if any("independent" in self.catalog.types[n].notes.flags for n in self.catalog.supers(label)):
+                edges.add(f"attr/{label}", F.struct(F.col(f"`{v}`").alias("value")), F.col(f"`{v}`").isNotNull())
         fresh = []
-        for x in news:
+        for x in items:
+            if not isinstance(x, A.Isa) or x.thing.name in attr_types:
+                continue
             v = x.thing.name
             if v in vars:
                 raise WriteError(f"${v} is there already")
@@ -118,27 +129,34 @@ class Writer:
             if t.kind not in OBJECTS or t.abstract:
                 raise WriteError(f"{label} has no instances")
             fresh.append((v, label))
+            vars[v] = Info("object", frozenset([label]))
+        df = rows.df
         if fresh:
-            top = df.agg(F.max("#n")).first()[0]
-            base = self.next_id
+            top, base = df.agg(F.max("#n")).first()[0], self.next_id
             for k, (v, label) in enumerate(fresh):
-                df = df.withColumn(v, F.lit(base + k) + F.col("#n") * len(fresh))
-                vars[v] = Info("object", frozenset([label]))
-                self._add(f"thing/{label}", df.select(F.col(f"`{v}`").alias("iid")), distinct=False)
+                new[v] = F.lit(base + k) + F.col("`#n`") * len(fresh)
+                edges.add(f"thing/{label}", F.struct(F.col(f"`{v}`").alias("iid")), F.lit(True))
             self.next_id = base + ((top or 0) + 1) * len(fresh)
+        if new:
+            df = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in new), *(col.alias(v) for v, col in new.items()))
         plan = Plan(df, vars, rows.hidden)
         for x in items:
             if isinstance(x, A.Has):
-                self._has(plan, x)
+                checks += self._has(plan, x, edges)
             elif isinstance(x, A.Links):
-                self._links(plan, x)
+                self._links(plan, x, edges)
+        self._pass(df, checks)
+        for table, options in edges.rows.items():
+            e = F.explode(F.filter(F.array(*(F.when(ok, row) for row, ok in options)), lambda r: r.isNotNull()))
+            self._add(table, df.select(e.alias("e")).select("e.*"), distinct=not table.startswith("thing/"))
         return plan
 
-    def _check_value(self, df: DataFrame, v: str, label: str, notes) -> None:
-        col = F.col(f"`{v}`")
+    def _value_checks(self, v: str, label: str, notes) -> list:
+        """(condition that must not hold, message) for the annotations of a value."""
+        col, out = F.col(f"`{v}`"), []
         for n in notes:
             if n.regex is not None:
-                self._some(df, ~col.rlike(n.regex), f"a value of {label} does not match @regex")
+                out.append((~col.rlike(n.regex), f"a value of {label} does not match @regex"))
             if n.range:
                 low, high = n.range
                 bad = F.lit(False)
@@ -146,9 +164,21 @@ class Writer:
                     bad |= col < F.lit(low)
                 if high is not None:
                     bad |= col > F.lit(high)
-                self._some(df, bad, f"a value of {label} is outside @range")
+                out.append((bad, f"a value of {label} is outside @range"))
             if n.values:
-                self._some(df, ~col.isin(*n.values), f"a value of {label} is not in @values")
+                out.append((~col.isin(*n.values), f"a value of {label} is not in @values"))
+        return out
+
+    def _pass(self, df: DataFrame, checks) -> None:
+        """All checks in one look at the rows."""
+        if checks:
+            found = df.agg(*(F.max(F.when(bad, 1)).alias(f"c{k}") for k, (bad, _) in enumerate(checks))).first()
+            for hit, (_, message) in zip(found, checks):
+                if hit:
+                    raise WriteError(message)
+
+    def _check_value(self, df: DataFrame, v: str, label: str, notes) -> None:
+        self._pass(df, self._value_checks(v, label, notes))
 
     def _owner(self, plan: Plan, v: str) -> Info:
         i = plan.vars.get(v)
@@ -158,19 +188,22 @@ class Writer:
             raise WriteError(f"${v} is no object")
         return i
 
-    def _has(self, plan: Plan, x: A.Has) -> None:
+    def _has(self, plan: Plan, x: A.Has, edges: _Edges) -> list:
         o, a = self._owner(plan, x.owner.name), plan.vars.get(x.attr.name)
         if a is None or a.kind != "attr":
             raise WriteError(f"${x.attr.name} is no attribute")
+        checks = []
         for t in o.types:
             for label in a.types:
                 edge = next((e for s in self.catalog.supers(label) if (e := self.catalog.owns(t).get(s))), None)
                 if edge is None:
                     raise WriteError(f"{t} does not own {label}")
-                self._check_value(plan.df, x.attr.name, label, [edge.notes])
+                checks += self._value_checks(x.attr.name, label, [edge.notes])
+        owner, value = F.col(f"`{x.owner.name}`"), F.col(f"`{x.attr.name}`")
         for label in sorted(a.types):
-            df = plan.df.where(plan.label(x.attr.name) == label) if a.tagged else plan.df
-            self._add(f"has/{label}", df.select(plan.label(x.owner.name).alias("owner_type"), F.col(f"`{x.owner.name}`").alias("owner"), F.col(f"`{x.attr.name}`").alias("value")).where("owner IS NOT NULL AND value IS NOT NULL"))
+            row = F.struct(plan.label(x.owner.name).alias("owner_type"), owner.alias("owner"), value.cast(V.spark_type(self.catalog.value_type(label))).alias("value"))
+            edges.add(f"has/{label}", row, owner.isNotNull() & value.isNotNull() & (plan.label(x.attr.name) == label))
+        return checks
 
     def _role(self, rel: str, role) -> str:
         if role is None:
@@ -187,18 +220,19 @@ class Writer:
             raise WriteError(f"{found[0]} is abstract")
         return found[0]
 
-    def _links(self, plan: Plan, x: A.Links) -> None:
+    def _links(self, plan: Plan, x: A.Links, edges: _Edges) -> None:
         r = self._owner(plan, x.rel.name)
         for label in sorted(r.types):
             if self.catalog.types[label].kind != "relation":
                 raise WriteError(f"{label} is no relation")
-            df = plan.df.where(plan.label(x.rel.name) == label) if r.tagged else plan.df
             for role, p in x.players:
                 name = self._role(label, role)
                 for t in self._owner(plan, p.name).types:
                     if name not in self.catalog.plays(t):
                         raise WriteError(f"{t} does not play {name}")
-                self._add(f"links/{label}", df.select(F.col(f"`{x.rel.name}`").alias("rel"), F.lit(name).alias("role"), plan.label(p.name).alias("player_type"), F.col(f"`{p.name}`").alias("player")).where("rel IS NOT NULL AND player IS NOT NULL"))
+                rel, player = F.col(f"`{x.rel.name}`"), F.col(f"`{p.name}`")
+                row = F.struct(rel.alias("rel"), F.lit(name).alias("role"), plan.label(p.name).alias("player_type"), player.alias("player"))
+                edges.add(f"links/{label}", row, rel.isNotNull() & player.isNotNull() & (plan.label(x.rel.name) == label))
 
     # -------------------------------------------------------------- put, update, delete
 
