@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.session import query
+from knotwork.operators.write import Writer
+from knotwork.plans.compiler import Compiler
+from knotwork.schema import Catalog
+from knotwork.session import parsed, query, run
 from knotwork.sources import tables
+from knotwork.sources.store import EdgeStore
 
 #: The iid of the region with key 2: the number of the type in the catalog, then the key.
 _REGION_2 = f"0x{list(tables.catalog().types).index('region'):04x}{2:016x}"
@@ -140,12 +144,48 @@ def given_things(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(spark, tables.catalog(), tables.store(spark, sf_dir), "given $x: nation; match residence (resident: $p, place: $x); $x has n_name $n; reduce $k = count groupby $n;", rows)
 
 
-QUERIES = {name: _text(text) for name, (text, _) in TEXTS.items()} | {"given_rows": given_rows, "given_things": given_things}
+SALES = """define
+attribute id value integer; attribute number value integer; attribute title value string; attribute state value string;
+entity person, owns id @key, owns title, plays purchase:buyer; entity sale, owns number @key, owns state, plays purchase:thing;
+relation purchase, relates buyer @card(0..1), relates thing @card(0..1);"""
+_PEOPLE = "given $k: integer, $n: string; insert $p isa person, has id == $k, has title == $n;"
+_BOUGHT = 'given $o: integer, $c: integer; match $p isa person, has id == $c; insert $s isa sale, has number == $o, has state "new"; purchase (buyer: $p, thing: $s);'
+
+
+def _written(ask: str, *writes: str):
+    """Customers and orders written to edge tables, then changed by `writes`, checked as a commit is, then asked."""
+
+    def run_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+        catalog = Catalog.of(SALES)
+        store = EdgeStore(spark, catalog, {})
+        writer = Writer(Compiler(spark, catalog, store), store)
+        people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("n"))
+        bought = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"))
+        for text in (_PEOPLE, _BOUGHT, *writes):
+            run(writer.c, parsed(text), people if "$n:" in text else bought, writer)
+        writer.clean()
+        writer.validate()
+        return query(spark, catalog, store, ask)
+
+    return run_all
+
+
+WRITES = {
+    "write_insert": (_written("match $p isa person, has id $k, has title $n; select $k, $n;"), "SELECT c_custkey AS k, c_name AS n FROM customer"),
+    "write_links": (_written("match $r isa purchase, links (buyer: $p, thing: $s); $p has id $k; reduce $n = count groupby $k;"), "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1"),
+    "write_put": (_written("match $p isa person; reduce $n = count;", "given $k: integer, $n: string; put $p isa person, has id == $k, has title == $n;"), "SELECT count(*) AS n FROM customer"),
+    "write_update": (_written("match $s isa sale, has state $t; reduce $n = count groupby $t;", 'match $s isa sale, has number $o; let $m = $o % 3; $m == 0; update $s has state "done";'), "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE 'new' END AS t, count(*) AS n FROM orders GROUP BY 1"),
+    "write_delete": (_written("match $r isa purchase; try { $r links (buyer: $p); $p has id $k; }; reduce $n = count, $m = count($k);", "match $p isa person, has id $k; let $m = $k % 2; $m == 0; delete $p;"), "SELECT count(*) AS n, count(*) FILTER (o_custkey % 2 = 1) AS m FROM orders"),
+    "write_delete_orphans": (_written("match $r isa purchase; reduce $n = count;", "match $p isa person, has id $k; let $m = $k % 2; $m == 0; delete $p;", "match $s isa sale, has number $o; let $m = $o % 2; $m == 0; delete $s;"), "SELECT count(*) AS n FROM orders WHERE o_custkey % 2 = 1 OR o_orderkey % 2 = 1"),
+    "write_delete_has": (_written("match $s isa sale, has number $o; not { $s has state $t; }; reduce $n = count;", 'match $s isa sale, has state $t, has number $o; $o < 100; delete has $t of $s;'), "SELECT count(*) AS n FROM orders WHERE o_orderkey < 100"),
+}
+
+QUERIES = {name: _text(text) for name, (text, _) in TEXTS.items()} | {"given_rows": given_rows, "given_things": given_things} | {name: f for name, (f, _) in WRITES.items()}
 
 SQL = {name: sql for name, (_, sql) in TEXTS.items() if sql} | {
     "given_rows": "SELECT c_mktsegment AS s, c_name AS n FROM customer WHERE (c_mktsegment, c_custkey) IN (SELECT c_mktsegment, max(c_custkey) FROM customer GROUP BY 1)",
     "given_things": TEXTS["links_polymorphic"][1].replace("AS x", "AS n").replace("AS c FROM nation", "AS k FROM nation").replace("AS k FROM customer", "AS z FROM customer").replace("ON k =", "ON z ="),
-}
+} | {name: sql for name, (_, sql) in WRITES.items()}
 
 
 def entry(spark: SparkSession) -> DataFrame:

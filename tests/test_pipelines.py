@@ -269,3 +269,21 @@ def test_types_and_roles_can_be_renamed(people):
         tx.query("redefine human label organisation;")
     with people.transaction("schema") as tx, pytest.raises(QueryError):
         tx.query("redefine person label x;")
+
+
+ACCESS = """define
+entity subject @abstract, plays membership:member; entity person sub subject, owns email @key; entity crew sub subject, plays crew-membership:crew, owns email;
+attribute email value string;
+relation membership @abstract, relates member @card(0..), relates parent @card(0..);
+relation crew-membership sub membership, relates crew as parent;
+fun crews($m: subject) -> { crew }: match $g isa crew; { crew-membership (crew: $g, member: $m); } or { crew-membership (crew: $g, member: $i); let $i in crews($m); }; return { $g };
+fun in_crew($m: subject, $g: crew) -> boolean: match let $x in crews($m); $x is $g; return check;"""
+CREWS = """insert $a isa person, has email "a"; $b isa person, has email "b"; $c isa crew, has email "c"; $d isa crew, has email "d"; $e isa crew, has email "e";
+crew-membership (crew: $c, member: $a); crew-membership (crew: $d, member: $c); crew-membership (crew: $e, member: $d); crew-membership (crew: $c, member: $e); crew-membership (crew: $e, member: $b);"""
+
+
+def test_recursive_functions_over_specialised_roles(database):
+    db = database(ACCESS, CREWS)
+    assert ask(db, 'match $p isa person, has email "a"; let $g in crews($p); $g has email $n; select $n;') == [("c",), ("d",), ("e",)]
+    assert ask(db, 'match $p isa person, has email $m; $g isa crew, has email "d"; let $x = in_crew($p, $g); select $m, $x;') == [("a", True), ("b", True)]
+    assert ask(db, "match membership (parent: $g, member: $p); $p isa person, has email $m; $g has email $n; select $m, $n;") == [("a", "c"), ("b", "e")]
