@@ -18,7 +18,6 @@ from knotwork.functions import expressions as E
 from knotwork.functions import values as V
 from knotwork.operators import stages
 from knotwork.plans import ast as A
-from knotwork.plans.infer import OBJECTS
 from knotwork.plans.plan import Info, Plan, tag
 from knotwork.sources.scratch import counted, cut
 

@@ -16,7 +16,7 @@ from knotwork.functions import expressions as E
 from knotwork.functions import values as V
 from knotwork.operators import calls, stages
 from knotwork.plans import ast as A
-from knotwork.plans.plan import Info, Plan, tag
+from knotwork.plans.plan import Plan, tag
 
 
 def fetch(c, plan: Plan, fields, carry: bool = False) -> DataFrame:
@@ -84,8 +84,8 @@ class _Rows:
         self.plan = self.plan.with_df(df.drop(*(f"#j{i}" for i in range(len(keys)))))
         return F.col(f"`{name}`")
 
-    def _owned(self, v: str, attrs: list[str]) -> DataFrame:
-        """(v, v's type, label, value as a struct field for each attribute type) of all ownerships of v's types."""
+    def _owned(self, v: str, attrs: list[str]) -> list[tuple[str, str, DataFrame]]:
+        """(type, attribute type, edges as k and value) of all ownerships of v's types."""
         i = self.plan.vars[v]
         frames = []
         for t in sorted(i.types):
@@ -150,9 +150,9 @@ class _Rows:
         outs = [(A.Var(f"_r{k}"), True) for k in range(len(f.returns))]
         got, _ = calls.call(self.c, seeds, f, e.args, outs)
         result = F.col("`_r0`") if len(outs) == 1 else F.struct(*(F.col(f"`_r{k}`") for k in range(len(outs))))
-        return self._collect(got.df.withColumn("#v", result), seeds.columns(*used) if used else [], many or f.stream and False, got, "_r0")
+        return self._collect(got.df.withColumn("#v", result), seeds.columns(*used) if used else [], many)
 
-    def _collect(self, df: DataFrame, keys: list[str], many: bool, plan: Plan | None = None, v: str | None = None, order=None):
+    def _collect(self, df: DataFrame, keys: list[str], many: bool, order=None):
         groups = [F.col(f"`{k}`") for k in keys]
         if not many:
             one = df.groupBy(*groups).agg(F.first("#v").alias("#v")) if groups else df.agg(F.first("#v").alias("#v"))
@@ -166,8 +166,6 @@ class _Rows:
         return F.coalesce(self._back(got, keys, "#v"), F.array().cast(f"array<{kind}>"))
 
     def sub(self, x: A.FetchSub):
-        from knotwork.plans.compiler import pattern_vars
-
         used: set[str] = set()
         _outer_vars(x, used)
         outer = sorted(used & set(self.plan.vars))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.errors import QueryError
 from knotwork.functions import values as V
 from knotwork.plans import ast as A
-from knotwork.plans.plan import Info, Plan, tag
+from knotwork.plans.plan import Info, Plan
 
 _ORDERED = {"integer", "double", "decimal", "string", "date", "datetime", "datetime-tz"}
 
@@ -42,7 +42,7 @@ def sort(plan: Plan, s: A.Sort) -> Plan:
     _check(plan, [v for v, _ in keys])
     for v, _ in keys:
         i = plan.vars[v]
-        if i.kind == "attr" and len({k for k in [i.value]}) and i.value == "duration" or i.kind == "list":
+        if i.value == "duration" or i.kind == "list":
             raise QueryError(f"${v} has no order")
     out = plan if plan.hidden else plan.with_df(plan.df.orderBy(*sort_columns(plan, keys)))
     return Plan(out.df, out.vars, out.hidden, keys, plan.unique)
