@@ -186,7 +186,8 @@ def answer(c, f: A.Function, seeds: DataFrame, params: list[Info]) -> tuple[Data
     return body(c, f, seeds, params, infos), infos
 
 
-def body(c, f: A.Function, seeds: DataFrame, params: list[Info], infos: list[Info]) -> DataFrame:
+def body(c, f: A.Function, seeds: DataFrame, params: list[Info], infos: list[Info], distinct: bool = True) -> DataFrame:
+    """Answers of a function's body for the arguments in seeds; without distinct, streams may repeat answers."""
     hidden = list(seeds.columns)
     df, vars = seeds, {}
     for k, ((v, _, _), info) in enumerate(zip(f.args, params)):
@@ -216,7 +217,7 @@ def body(c, f: A.Function, seeds: DataFrame, params: list[Info], infos: list[Inf
             if info.tagged:
                 cols.append(plan.label(v.name).alias(f"#r{k}#t"))
         out = plan.df.select(*hid, *cols)
-        return out.distinct() if ret.mode == "stream" else out
+        return out.distinct() if ret.mode == "stream" and distinct else out
     on = [F.col(f"s.`{h}`").eqNullSafe(F.col(f"a.`{h}`")) for h in hidden]
     if ret.mode == "check":
         found = plan.df.select(*hid).distinct().withColumn("#yes", F.lit(True))
@@ -282,10 +283,10 @@ class Tabling:
                     fun = self.c.functions[g]
                     if g in fresh_calls:
                         self.view = dict(self.answers)
-                        produced.setdefault(g, []).append(body(self.c, fun, fresh_calls[g], self.params[g], self.infos[g]))
+                        produced.setdefault(g, []).append(body(self.c, fun, fresh_calls[g], self.params[g], self.infos[g], False))
                     if fresh_answers and self.calls[g] is not None:
                         self.view = {**dict.fromkeys(self.ring), **fresh_answers} if self.linear else dict(self.answers)
-                        produced.setdefault(g, []).append(body(self.c, fun, self.calls[g], self.params[g], self.infos[g]))
+                        produced.setdefault(g, []).append(body(self.c, fun, self.calls[g], self.params[g], self.infos[g], False))
                 new_answers, new_calls = {}, {}
                 for g, frames in produced.items():
                     df = fold(lambda a, b: a.unionByName(b), frames).distinct()
@@ -293,7 +294,7 @@ class Tabling:
                     if n:
                         new_answers[g] = df
                 for g, frames in self.asked.items():
-                    df = fold(lambda a, b: a.unionByName(b), frames).distinct()
+                    df = frames[0] if len(frames) == 1 else fold(lambda a, b: a.unionByName(b), frames).distinct()  # one call's arguments are distinct
                     df, n = counted(df if self.calls[g] is None else _without(df, self.calls[g]))
                     if n:
                         new_calls[g] = df
