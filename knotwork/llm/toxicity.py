@@ -173,17 +173,16 @@ def _word_keys(letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return C.mix((sums[bounds[1:]] - sums[bounds[:-1]]) * q[bounds[:-1]]) ^ C.mix(np.diff(bounds).astype(np.uint64))
 
 
-def _sentence_words(text: str) -> list[set[str]]:
-    """The words of each sentence, spelled as the kernel sees them."""
+def _sentence_words(text: str, pool: dict[bytes, bytes]) -> list[tuple[bytes, ...]]:
+    """The different words of each sentence, spelled as the kernel sees them. pool: one object for each word, as words repeat."""
     out = []
     for sentence in _SENTENCE.split(text):
-        found = set()
         data = sentence.encode()
         letters, bounds, _ = word_letters(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-        for a, b in zip(bounds, bounds[1:]):
-            found.add(bytes(letters[a:b].astype(np.uint8)))
+        raw, ends = letters.astype(np.uint8).tobytes(), bounds.tolist()
+        found = {raw[a:b] for a, b in zip(ends, ends[1:])}
         if found:
-            out.append(found)
+            out.append(tuple(pool.setdefault(w, w) for w in found))
     return out
 
 
@@ -215,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1500, negative
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in y], "doc_id long"))  # positives + negatives ids at most
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most_bytes)
     rows = sorted((r["doc_id"], r["text"]) for r in src.join(chosen, "doc_id", "left_semi").toLocalIterator())
-    bags = [(y[d], _sentence_words(t), t) for d, t in rows]
-    return fit(bags, landmarks, seed)
+    pool: dict[bytes, bytes] = {}
+    return fit([(y[d], _sentence_words(t, pool), t) for d, t in rows], landmarks, seed)
 
 
 def families(sets: list[set[bytes]], bands: int = 6, rows: int = 3) -> list[int]:
@@ -240,7 +239,7 @@ def families(sets: list[set[bytes]], bands: int = 6, rows: int = 3) -> list[int]
     return [find(k) for k in range(len(sets))]
 
 
-def fit(bags: list[tuple[int, list[set[bytes]], str]], landmarks: int, seed: int) -> Model | None:
+def fit(bags: list[tuple[int, list[tuple[bytes, ...]], str]], landmarks: int, seed: int) -> Model | None:
     rng = np.random.default_rng(seed)
     if len({b[0] for b in bags}) < 2:
         return None
@@ -251,6 +250,7 @@ def fit(bags: list[tuple[int, list[set[bytes]], str]], landmarks: int, seed: int
     where: dict[tuple[int, int], set] = {}
     for words, f, b in zip(held, family, bags):
         where.setdefault((b[0], f), set()).update(words)
+    del held
     in_pos, in_neg, learnt = Counter(), Counter(), Counter()
     for (label, f), words in sorted(where.items(), key=lambda x: x[0]):
         (in_pos if label else in_neg).update(words)
@@ -319,11 +319,11 @@ def fit(bags: list[tuple[int, list[set[bytes]], str]], landmarks: int, seed: int
     if extra:
         model = learn(sorted(set(positive) | set(extra)))
 
-    judged = [(b[0], b[2].encode()) for b, f in zip(bags, family) if b[0] or not learnt or f % 5 <= 1]
-    if all(y for y, _ in judged):
-        judged = [(b[0], b[2].encode()) for b in bags]
-    facts = np.concatenate([model.documents(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for _, t in judged])
-    labels = np.array([y for y, _ in judged], float)
+    judged = [b for b, f in zip(bags, family) if b[0] or not learnt or f % 5 <= 1]
+    if all(b[0] for b in judged):
+        judged = bags
+    facts = np.concatenate([model.documents(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b[2].encode() for b in judged)])
+    labels = np.array([b[0] for b in judged], float)
     return Model(model.weights, model.bias, calibrate(facts, labels))
 
 
