@@ -317,6 +317,16 @@ def test_many_copies_of_a_passage(spark):
     assert {r["doc_id"] for r in got.select("doc_id").collect()} == set(range(1, 120))
 
 
+def test_repeats_made_of_lines_that_are_common(spark):
+    """Two lines stand each singly in many documents with smaller ids, and side by side in a few."""
+    one, two = prose(25, 960), prose(25, 961)
+    texts = [prose(60, 2000 + k) + " " + (one, two)[k % 2] + " " + prose(60, 3000 + k) for k in range(60)]
+    texts += [prose(60, 4000 + k) + " " + one + " " + two + " " + prose(60, 5000 + k) for k in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 5):
+        assert {r["doc_id"] for r in substring.repeats(df.repartition(parts)).collect()} == set(range(61, 66))
+
+
 # ------------------------------------------------------------------ 8 decontamination
 
 
