@@ -327,6 +327,27 @@ def test_repeats_made_of_lines_that_are_common(spark):
         assert {r["doc_id"] for r in substring.repeats(df.repartition(parts)).collect()} == set(range(61, 66))
 
 
+def test_all_windows_of_a_document_are_kept():
+    """Its words come again, so a key has several windows in it."""
+    import pyarrow as pa
+
+    text = " ".join(prose(60, 970) + " " + prose(40, 980 + k) for k in range(4))
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["doc_id", "text"])
+    rows = pa.Table.from_batches(substring._windows(5, 46, 6)([batch]))
+    g, want = next(substring._sequences(batch, 5))[2], 0
+    for seed in C.mix(np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)):
+        want += len(substring.compact_windows(C.mix(g ^ seed), np.array([0, len(g)]), 46)[1])
+    assert rows.num_rows == want and len(set(rows["key"].to_pylist())) < want
+
+
+def test_windows_meet_the_nearest_other_document():
+    key, none = np.zeros(7, np.int64), np.zeros(7, np.int64)
+    doc, pos = np.array([1, 2, 2, 2, 3, 3, 4]), np.arange(7)
+    got = [b.to_pydict() for b in substring._pairs_of(key, doc, pos, none, none, substring._surroundings(46), 1)]
+    pairs = {p for b in got for p in zip(b["pu"], b["pv"])}
+    assert pairs == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (4, 3), (5, 3), (6, 5)}
+
+
 # ------------------------------------------------------------------ 8 decontamination
 
 
