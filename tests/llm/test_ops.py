@@ -391,6 +391,18 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.clean(odd, bench).count() == len(ODD) and decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_matched_exactly(spark):
+    chinese = "水在标准大气压下的沸点是多少摄氏度"
+    bench = spark.createDataFrame([(0, "Who wrote Hamlet?"), (1, "a[i] += b[i]*2"), (2, chinese), (3, "+-*/"), (4, None), (5, " ")], "item_id long, text string")
+    texts = ["He asked: who  wrote\nHAMLET, then left", "for i: A[i] +=  b[i]*2;", "问题。" + chinese + "呢", "signs +-*/ here", "who wrote hamlets", "a i b i 2", "data[i] += b[i]*2", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 3)} and all(r["distance"] == 0 for r in got.values())
+    for (d, i), r in got.items():
+        assert decontaminate.normal(texts[d])[r["start"] : r["end"]] == decontaminate.normal(bench.where(f"item_id = {i}").first()["text"])
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [4, 5, 6, 7]
+
+
 # ------------------------------------------------------------------ 9 near duplicates
 
 
