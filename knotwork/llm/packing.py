@@ -98,6 +98,28 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=2)
+def _added(path: str):
+    """A pattern of the tokenizer's added tokens, in any case."""
+    added = [re.escape(a.content) for a in _tokenizer(path)[0].get_added_tokens_decoder().values()]
+    return re.compile("|".join(added), re.IGNORECASE) if added else None
+
+
+def contract_ids(texts: list[str], path: str) -> list[bytes]:
+    """encode(), but a text that holds an added token's string goes to the tokenizer whole, with default settings, so the string is that token."""
+    out = encode(texts, path)
+    t, added = _tokenizer(path)[0], _added(path)
+    special = [k for k, x in enumerate(texts) if added.search(x)] if added else []
+    if special:
+        t.encode_special_tokens = False  # for these only: a second tokenizer would double its memory
+        try:
+            for k in special:
+                out[k] = np.array(t.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            t.encode_special_tokens = True
+    return out
+
+
 def pieces(docs: DataFrame, *, tokenizer: str, end_id: int = 2, most: int = 4096, keep_ids: bool = False) -> DataFrame:
     """Each document's ids and `end_id`, cut into pieces of `most` ids and a rest.
 
@@ -118,7 +140,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int = 2, most: int = 4096
                     size += len(texts[stop])
                     stop += 1
                 out: list[list] = [[] for _ in range(5 + keep_ids)]
-                for d, raw in zip(ids[at:stop], encode(texts[at:stop], tokenizer)):
+                for d, raw in zip(ids[at:stop], contract_ids(texts[at:stop], tokenizer)):
                     raw += tail
                     n = len(raw) // 4
                     for s in range(0, n, most):

@@ -241,6 +241,15 @@ def test_encode_is_the_tokenizers_own():
         packing.CACHE_PARTS, packing.CACHE_WORDS = old
 
 
+def test_added_tokens_in_texts_are_those_tokens(spark):
+    texts = ["one <|endoftext|> two", "<|startoftext|>x", prose(30, 6), "a <|EndOfText|> b", "<|endoftext", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    t = Tokenizer.from_file(TOKENIZER)
+    for r in packing.pieces(docs, tokenizer=TOKENIZER, keep_ids=True).collect():
+        want = np.array(t.encode(texts[r["doc_id"]], add_special_tokens=False).ids + [2], "<u4").tobytes()
+        assert bytes(r["ids"]) == want and r["ids_crc32"] == zlib.crc32(want) and r["doc_tokens"] == len(want) // 4
+
+
 def test_shortest_pack_first():
     r = np.random.default_rng(7)
     h = {int(k): int(c) for k, c in zip(r.integers(1, 101, 40), r.integers(1, 500, 40))}
