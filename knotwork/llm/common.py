@@ -2,42 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from knotwork.sources.scratch import remove, scratch
+
 BLOCK = 1 << 20  # bytes of text that a kernel looks at together
 
 
 # ---------------------------------------------------------------- scratch tables
 
 
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share.
-
-    It is spark.checkpoint.dir where the cluster names one. Where it is unset, a temporary
-    folder serves in local mode, the warehouse otherwise.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    root = root or _own.get(spark.sparkContext.applicationId)
-    if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = "file://" + tempfile.mkdtemp(prefix="knotwork-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        root = _own.setdefault(spark.sparkContext.applicationId, root)
-    return root.rstrip("/")
-
-
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """df, written to a table in the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
@@ -51,15 +32,6 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
-def remove(*tables: DataFrame | None) -> None:
-    """Deletes tables that cut() made and that no plan reads any more."""
-    for t in tables:
-        if t is not None and getattr(t, "_scratch", None):
-            jvm = t.sparkSession._jvm
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch)
-            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -196,26 +168,113 @@ def signed(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
-def components(links: DataFrame) -> DataFrame:
+def smallest(p: np.ndarray, q: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Smallest name in the component of each node, under links between the nodes p and q (indices into names).
+
+    Roots are hooked to smaller ones, then every path is halved until it is one step long, so a chain takes a logarithm of its length.
+    """
+    order = np.argsort(names, kind="stable")
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    p, q, label = place[p], place[q], np.arange(len(names))
+    while True:
+        a, b = label[p], label[q]
+        apart = a != b
+        if not apart.any():
+            return names[order][label[place]]
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != (up := label[label])).any():
+            label = up
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """cut(), and the number of rows, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, int(seen.get["n"])
+
+
+#: Links that one task joins at once in components().
+LINKS = 1 << 20
+
+
+def components(links: DataFrame, *, block: int = LINKS) -> DataFrame:
     """(node, component) of every node in links (u, v): component is the smallest node that can be reached.
 
-    Each round hands every node to its smallest neighbour and contracts the links to the nodes
-    that are left, so that chains and stars both shrink fast. Rounds are cut by tables in the
-    shared folder; nothing is gathered on the driver but whether links are left.
+    Each task joins the links that it reads to stars, about `block` at once. While there is more
+    than one block, a round hooks every node to its smallest neighbour (every other
+    round: to the one with the smallest hash), shortens the paths by pointer doubling until each
+    tree is a star, and puts the trees in the places of their nodes. A tree's path of n steps takes
+    a logarithm of n doublings, and by a random order half of the nodes or more are expected to be
+    hooked, whatever the graph: so the number of rounds is a logarithm too. The last block is joined
+    by one task. Rounds are cut by tables in the shared folder, which are deleted when they are
+    read; the driver sees counts only.
     """
-    edges = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
-    found = None
-    while not edges.isEmpty():
+    kind = dict(links.dtypes)["u"]
+    edges, n = counted(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
+    found, turn = None, 0
+
+    def stars(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= block:
+                yield from joined(held)
+                held, size = [], 0
+        yield from joined(held)
+
+    def joined(held):
+        if not sum(b.num_rows for b in held):
+            return
+        t = pa.Table.from_batches(held)
+        names, at = np.unique(np.concatenate([t.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+        root = smallest(at[: t.num_rows], at[t.num_rows :], names)
+        moved = names != root
+        yield pa.RecordBatch.from_arrays([pa.array(root[moved]), pa.array(names[moved])], ["u", "v"])
+
+    def renamed(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        """Components of components: new (u, p) tells where those of old went."""
+        if old is None:
+            return new.select(F.col("u").alias("node"), F.col("p").alias("component"))
+        return old.join(new, F.col("component") == F.col("u"), "left").select("node", F.coalesce("p", "component").alias("component"))
+
+    while n > block:
+        local, n = counted(edges.mapInArrow(stars, f"u {kind}, v {kind}").distinct())
+        remove(edges)
+        edges = local
+        rank = (lambda c: F.col(c)) if turn % 2 == 0 else (lambda c: F.xxhash64(c, F.lit(turn)))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")))
+        low = both.groupBy("u").agg(F.min_by("v", F.struct(rank("v"), "v")).alias("m"))
+        parent = cut(low.select("u", F.when(F.struct(rank("m"), "m") < F.struct(rank("u"), "u"), F.col("m")).otherwise(F.col("u")).alias("p")))
+        steps = 1
+        while steps:  # pointer doubling
+            up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+            seen = Observation()
+            higher = cut(parent.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")).observe(seen, F.sum(F.col("moved").cast("long")).alias("n")).select("u", "p"))
+            steps = int(seen.get["n"] or 0)
+            remove(parent)
+            parent = higher
+        new = cut(renamed(found, parent))
+        pu, pv = parent.select("u", F.col("p").alias("pu")), parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        nxt, n = counted(edges.join(pu, "u").join(pv, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct())
+        remove(edges, parent, found)
+        edges, found, turn = nxt, new, turn + 1
+    if n:
+        last = edges.coalesce(1).mapInArrow(stars, f"u {kind}, v {kind}")
+        last = last.select(F.col("v").alias("u"), F.col("u").alias("p"))
         if found is None:
-            new = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
-        else:
-            new = found.join(parent, F.col("component") == F.col("u"), "left").select("node", F.coalesce("p", "component").alias("component"))
-        old, found = found, cut(new)
-        pu, pv = parent.select(F.col("u"), F.col("p").alias("pu")), parent.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        nxt = cut(edges.join(pu, "u").join(pv, "v").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u < v").distinct())
-        remove(edges, old, parent)
-        edges = nxt
+            last = last.unionByName(last.select(F.col("p").alias("u"), "p").distinct())
+        new = cut(renamed(found, last))
+        remove(found)
+        found = new
     remove(edges)
-    return found if found is not None else edges.sparkSession.createDataFrame([], f"node {dict(links.dtypes)['u']}, component {dict(links.dtypes)['u']}")
+    if found is None:
+        return links.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    if turn > 1:  # a tree's root need not be its smallest node where hashes chose it
+        least = found.groupBy("component").agg(F.min("node").alias("least"))
+        new = cut(found.join(least, "component").select("node", F.col("least").alias("component")))
+        remove(found)
+        found = new
+    return found
