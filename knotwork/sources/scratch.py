@@ -20,6 +20,8 @@ def scratch(spark: SparkSession) -> str:
             root = "file://" + tempfile.mkdtemp(prefix="knotwork-")
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            if root.startswith(("file:", "/")):
+                raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         root = _own.setdefault(spark.sparkContext.applicationId, root)
     return root.rstrip("/")
 
