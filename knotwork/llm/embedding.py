@@ -8,7 +8,6 @@ compared with what is stored there in double precision.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -19,26 +18,37 @@ from pyspark.sql import functions as F
 from knotwork.llm import common as C
 
 
-def _unit(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return _normal(flat.reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, 0))
-
-
 def _normal(v: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled by the largest component first, so that no square leaves the range of doubles."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _by_width(column: pa.Array):
+    """Vectors of one length at a time: their rows, and the matrix as it was given."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    begin = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+    for width in np.unique(lengths):
+        rows = np.flatnonzero(lengths == width)
+        yield rows, values[begin[rows][:, None] + np.arange(width)[None]]
+
+
 def _packed(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     """Unit vectors from their bytes, in double precision."""
     raw = b"".join(column.to_pylist())
     return _normal(np.frombuffer(raw, kind).astype(np.float64).reshape(len(column), -1))
 
 
+#: Vectors whose distances to a codebook are held at once.
+_ROWS = 1024
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = _distances(x, centres).argmin(axis=1)
+        near = np.concatenate([_distances(x[a : a + _ROWS], centres).argmin(axis=1) for a in range(0, len(x), _ROWS)])
         for j in range(k):
             if (m := near == j).any():
                 centres[j] = x[m].mean(axis=0)
@@ -49,31 +59,44 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None]
 
 
-def multi_sequence(d1: np.ndarray, d2: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """The `most` pairs (i, j) with the smallest d1[i] + d2[j], in that order."""
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, seen, out = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, []
-    while heap and len(out) < most:
-        _, a, b = heapq.heappop(heap)
-        out.append((int(o1[a]), int(o2[b])))
-        for x, y in ((a + 1, b), (a, b + 1)):
-            if x < len(o1) and y < len(o2) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (d1[o1[x]] + d2[o2[y]], x, y))
-    return out
+def multi_sequence(d1: np.ndarray, d2: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of d1 and d2 the `most` pairs (i, j) with the smallest d1[i] + d2[j], in that order.
+
+    The traversal of two ascending sequences reaches the pair of their a-th and b-th element only
+    after the (a + 1)(b + 1) - 1 pairs before it in both, so the first `most` are among the pairs
+    with (a + 1)(b + 1) <= most; those are few, and are ordered for all rows at once.
+    """
+    o1, o2 = np.argsort(d1, axis=1, kind="stable"), np.argsort(d2, axis=1, kind="stable")
+    s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
+    a, b = (np.array(x, np.int64) for x in zip(*((a, b) for a in range(min(d1.shape[1], most)) for b in range(min(d2.shape[1], most // (a + 1))))))
+    first = np.argsort(s1[:, a] + s2[:, b], axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(o1, a[first], 1), np.take_along_axis(o2, b[first], 1)
 
 
-def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, per_cell: int, seed: int):
-    """Codebooks of both halves and the number of cells to visit.
+class Index:
+    """Codebooks of both halves, and the number of cells to visit; the cells of one first codeword are cut into runs of `run` second ones."""
 
-    The number is taken from vectors turned away from sample vectors by exactly the cosine in
+    def __init__(self, books: tuple[np.ndarray, np.ndarray], visits: int, run: int):
+        self.books, self.visits, self.run = books, visits, run
+        self.runs = -(-len(books[1]) // run)
+
+    def distances(self, x: np.ndarray) -> list[np.ndarray]:
+        return [_distances(part, b) for part, b in zip(_halves(x), self.books)]
+
+
+def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, per_cell: int, block: int, seed: int) -> Index:
+    """An index for `rows` vectors like those of the sample.
+
+    The number of visits is taken from vectors turned away from sample vectors by exactly the cosine in
     question, in random directions: `recall` of them lie in the cells that are visited. Links have
-    that cosine or more, and each is met from either end, so the recall of links is higher.
+    that cosine or more, and each is met from either end, so the recall of links is higher. A
+    codeword is the mean of eight sample vectors or more, so a larger table needs a larger sample,
+    or has more vectors in a cell.
     """
     rng = np.random.default_rng(seed)
-    half = sample.shape[1] // 2 or 1
-    k = max(1, math.isqrt(max(1, rows // per_cell)))
-    books = _kmeans(sample[:, :half], k, rng), _kmeans(sample[:, half:] if sample.shape[1] > 1 else np.zeros((len(sample), 1)), k, rng)
+    k = max(1, min(math.isqrt(max(1, rows // per_cell)), len(sample) // 8))
+    books = tuple(_kmeans(part, k, rng) for part in _halves(sample))
+    books = books[0], books[1][np.argsort(books[1] @ np.linalg.svd(books[1] - books[1].mean(axis=0), full_matrices=False)[2][0], kind="stable")]  # neighbours stand together
     some = sample[rng.choice(len(sample), min(len(sample), 1500), replace=False)]
     noise = rng.standard_normal(some.shape)
     noise -= (noise * some).sum(axis=1, keepdims=True) * some
@@ -83,9 +106,10 @@ def fit(sample: np.ndarray, rows: int, cosine: float, recall: float, per_cell: i
     other = [_distances(part, b).argmin(axis=1) for part, b in zip(_halves(moved), books)]
     rank = []
     for n in range(len(some)):
-        d = own[0][n][:, None] + own[1][n][None, :]
-        rank.append(int((d < d[other[0][n], other[1][n]]).sum()))
-    return books, int(np.sort(rank)[min(len(rank) - 1, math.ceil(recall * len(rank)))]) + 1
+        d1, d2 = own[0][n], np.sort(own[1][n])
+        rank.append(int(np.searchsorted(d2, d1[other[0][n]] + own[1][n][other[1][n]] - d1, "left").sum()))
+    visits = int(np.sort(rank)[min(len(rank) - 1, math.ceil(recall * len(rank)))]) + 1
+    return Index(books, visits, max(1, block // per_cell))
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,45 +117,47 @@ def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:, :half], x[:, half:] if x.shape[1] > 1 else np.zeros((len(x), 1))
 
 
-def _groups(p: np.ndarray, q: np.ndarray, n: int, names: np.ndarray) -> np.ndarray:
-    """Smallest name in the component of each of n nodes under links (p, q)."""
-    label = names.copy()
-    while True:
-        low = np.minimum(label[p], label[q])
-        new = label.copy()
-        np.minimum.at(new, p, low)
-        np.minimum.at(new, q, low)
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(cosine: float, kind: str):
-    """Links between visitors of a cell and its members: how many copies each is linked with, and one node of its component here.
+    """Links between visitors of a run of cells and its members: how many vectors each is linked with, and one node of its component here.
 
     A link is counted once at either end: at the visitor always, at the member only if the member
     does not visit the visitor's cell in its turn. So no pairs leave the block.
     """
 
+    def lists(column: pa.ChunkedArray):
+        column = column.combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        return np.repeat(np.arange(len(size)), size), column.flatten().to_numpy()
+
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
         ids, counts, stars = empty, empty, empty
         if a.num_rows and b.num_rows:
             x, y = _packed(a.column("vec"), kind), _packed(b.column("vec"), kind)
             i, j, ci, cj = (t.column(c).to_numpy() for t, c in ((a, "id"), (b, "id"), (a, "copies"), (b, "copies")))
-            homes, home = np.unique(a.column("home").to_numpy(), return_inverse=True)
-            returns = np.array([np.isin(homes, np.array(c)) for c in b.column("cells").to_pylist()]).reshape(len(j), len(homes))
-            nx, ny, ps, qs = np.zeros(len(i), np.int64), np.zeros(len(j), np.int64), [], []
-            for s in range(0, len(x), 512):
-                p, q = np.nonzero((x[s : s + 512] @ y.T >= cosine) & (i[s : s + 512, None] != j[None]))
-                p += s
-                np.add.at(nx, p, cj[q])
-                once = ~returns[q, home[p]]
-                np.add.at(ny, q[once], ci[p[once]])
-                ps.append(p), qs.append(q + len(i))
+            home, place = a.column("home").to_numpy(), b.column("home").to_numpy()
+            guest, cell = lists(a.column("here"))
+            theirs = np.unique(np.stack(lists(b.column("cells"))[::-1]), axis=1)  # (cell, member), ordered
+            nx, ny, ps, qs = np.zeros(len(i), np.int64), np.zeros(len(j), np.int64), [empty], [empty]
+            members = np.argsort(place, kind="stable")
+            order = np.argsort(cell, kind="stable")
+            cells, start = np.unique(cell[order], return_index=True)
+            for c, g in zip(cells, np.split(guest[order], start[1:])):
+                lo, hi = np.searchsorted(place[members], (c, c + 1))
+                m = members[lo:hi]
+                for s in range(0, len(g) if len(m) else 0, 512):
+                    p, q = np.nonzero((x[g[s : s + 512]] @ y[m].T >= cosine) & (i[g[s : s + 512], None] != j[m][None]))
+                    p, q = g[s + p], m[q]
+                    np.add.at(nx, p, cj[q])
+                    pair, have = home[p] * len(j) + q, theirs[0] * len(j) + theirs[1]
+                    at = np.minimum(np.searchsorted(have, pair), len(have) - 1)
+                    once = have[at] != pair
+                    np.add.at(ny, q[once], ci[p[once]])
+                    ps.append(p), qs.append(q + len(i))
             p, q = np.concatenate(ps), np.concatenate(qs)
             names = np.concatenate((i, j))
-            star = _groups(p, q, len(names), names)
+            star = C.smallest(p, q, names)
             n = np.concatenate((nx, ny))
             linked = np.zeros(len(names), bool)
             linked[p] = linked[q] = True
@@ -141,63 +167,77 @@ def _compare(cosine: float, kind: str):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.95, sample: int = 20_000, per_cell: int = 512, block: int = 2048, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float = 0.95, sample: int = 20_000, per_cell: int = 64, block: int = 2048, seed: int = 5) -> DataFrame:
     """Links of vectors with a cosine of at least `cosine`, and what they join.
 
-    vectors: vec_id (long, unique, not null) and embedding (list of numbers, one length); other
-    columns are ignored. Vectors that are null, empty, zero, of another length than most, or that
-    hold a null or a non-finite component link with nothing. Returns vec_id, n_links,
-    component_id (smallest vec_id reachable, itself included) and kept. An empty table gives an
-    empty result.
+    vectors: vec_id (long) and embedding (list of numbers); other columns are ignored. Vectors of
+    different lengths have no cosine: each length has an index of its own. Vectors that are null,
+    empty, zero, or hold a null or a non-finite component link with nothing. Returns one row for
+    each row: vec_id, n_links, component_id (smallest vec_id reachable, itself included) and kept.
+    A repeated row is the same vector: it counts once and comes back as often as it came. Rows with
+    one vec_id and several vectors are vectors of their own with one name. A row without vec_id
+    links with nothing, and its component is null. An empty table gives an empty result.
 
     sample bounds the vectors that the codebooks are fitted on (those with the smallest hashes);
     every vector is indexed. Equal vectors are one class and are indexed once; their links are
-    counted from the class's size. A cell is compared in blocks of about `block` members and
-    `block` visitors, so a hot cell is split over many tasks, and a block gives counts and one
-    link a vector, not its pairs.
+    counted from the class's size. A vector is sent once to each run of cells that it visits. Runs
+    are compared in blocks of about `block` members and `block` visitors, so a hot cell is split
+    over many tasks, and a block gives counts and one link a vector, not its pairs.
     """
-    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
-    sound = src.where("v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(v, x -> x <> 0)")
-    widths = sound.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    if not widths:
-        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    sound = sound.where(F.size("v") == widths[0]["w"])
-    classes = C.cut(sound.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    rows = classes.count()
-    drawn = classes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("v").toArrow()
-    unit = np.concatenate([_unit(b, "v") for b in drawn.to_batches() if b.num_rows])
-    books, visits = fit(unit, rows, cosine, recall, per_cell, seed)
-    width = len(books[1])
+    src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
+    usable = F.expr("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(v, x -> x <> 0)")
+    sound = src.where(usable)
+    classes = C.cut(sound.groupBy("v").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
+    widths = {r["w"]: r["count"] for r in classes.groupBy(F.size("v").alias("w")).count().collect()}  # lengths and numbers
+    drawn = classes.orderBy(F.xxhash64("least", F.lit(seed)), "least").limit(sample).select("v").toArrow().column("v")
+    indexes: dict[int, Index] = {}
+    if len(drawn):
+        drawn = drawn.combine_chunks()
+        for _, x in _by_width(drawn.chunk(0) if isinstance(drawn, pa.ChunkedArray) else drawn):
+            indexes[x.shape[1]] = fit(_normal(x.astype(np.float64)), widths[x.shape[1]], cosine, recall, per_cell, block, seed)
 
     def cells(batches):
         for batch in batches:
-            x = _unit(batch, "v")
-            if not len(x):
-                continue
-            raw = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(x), -1)
-            d = [_distances(part, b) for part, b in zip(_halves(x), books)]
-            lists = [[i * width + j for i, j in multi_sequence(d[0][n], d[1][n], visits)] for n in range(len(x))]
-            home = d[0].argmin(axis=1) * width + d[1].argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["id", "copies", "vec", "home", "cells"])
-
-    indexed = C.cut(classes.select("id", "copies", "v").mapInArrow(cells, "id long, copies long, vec binary, home long, cells array<long>"))
-    stored = indexed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("sb"))
-    guests = indexed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("vb"))
-    grid = stored.join(guests, "cell")
+            for rows, raw in _by_width(batch.column("v")) if batch.num_rows else ():
+                index = indexes.get(raw.shape[1]) or Index((np.zeros((1, 1)), np.zeros((1, 1))), 1, 1)  # a length that the sample lacks has one cell
+                x = _normal(raw.astype(np.float64))
+                wide, i, j = len(index.books[1]), np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1), np.int64)
+                if raw.shape[1] in indexes:
+                    found = [multi_sequence(*index.distances(x[a : a + _ROWS]), index.visits) for a in range(0, len(x), _ROWS)]
+                    i, j = (np.concatenate(z) for z in zip(*found))
+                cell = np.sort(i * wide + j, axis=1)
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * cell.shape[1])
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(take), batch.column("copies").take(take), pa.array([r.tobytes() for r in np.ascontiguousarray(raw.astype(kind))], pa.binary()),
+                        pa.array(np.full(len(x), raw.shape[1], np.int32)), pa.array(np.full(len(x), wide, np.int32)), pa.array(np.full(len(x), index.run, np.int32)),
+                        pa.array(i[:, 0] * wide + j[:, 0]), pa.ListArray.from_arrays(ends, pa.array(cell.reshape(-1))),
+                    ],
+                    ["id", "copies", "vec", "width", "wide", "run", "home", "cells"],
+                )
+
+    indexed = C.cut(classes.select("id", "copies", "v").mapInArrow(cells, "id long, copies long, vec binary, width int, wide int, run int, home long, cells array<long>"))
+    spot = lambda c: f"(({c} div wide) * wide + (({c} % wide) div run) * run)"  # noqa: E731  the first cell of a run names it
+    stored = indexed.groupBy("width", F.expr(spot("home")).alias("spot")).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("sb"))
+    sent = indexed.withColumn("spot", F.explode(F.expr(f"array_distinct(transform(cells, c -> {spot('c')}))")))
+    guests = sent.groupBy("width", "spot").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("vb"))
+    grid = stored.join(guests, ["width", "spot"])
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    visitors = indexed.select("id", "copies", "vec", "home", F.explode("cells").alias("cell"))
-    left = visitors.join(grid, "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(1)), "vb").alias("vb"), each("sb").alias("sb"), "id", "copies", "vec", "home")
-    right = indexed.withColumnRenamed("home", "cell").join(grid, "cell").select("cell", each("vb").alias("vb"), F.pmod(F.xxhash64("id", F.lit(2)), "sb").alias("sb"), "id", "copies", "vec", "cells")
+    left = sent.join(grid, ["width", "spot"]).select("width", "spot", F.pmod(F.xxhash64("id", F.lit(1)), "vb").alias("vb"), each("sb").alias("sb"), "id", "copies", "vec", "home", F.expr(f"filter(cells, c -> {spot('c')} = spot)").alias("here"))
+    right = indexed.withColumn("spot", F.expr(spot("home"))).join(grid, ["width", "spot"]).select("width", "spot", each("vb").alias("vb"), F.pmod(F.xxhash64("id", F.lit(2)), "sb").alias("sb"), "id", "copies", "vec", "home", "cells")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of their own, for the cogroup
-    found = C.cut(left.groupBy("cell", "vb", "sb").cogroup(right.groupBy("cell", "vb", "sb")).applyInArrow(_compare(cosine, kind), "u long, n long, v long"))
+    key = ["width", "spot", "vb", "sb"]
+    found = C.cut(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_compare(cosine, kind), "u long, n long, v long"))
     others = found.groupBy("u").agg(F.sum("n").alias("linked"))
     comps = C.components(found.select("u", "v"))
-    facts = classes.join(others, classes["id"] == others["u"], "left").join(comps, classes["id"] == comps["node"], "left")
-    facts = facts.select(F.col("v").alias("same"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    own = sound.join(facts, sound["v"] == facts["same"]).select("vec_id", "n_links", "component_id")
-    all_ids = src.select("vec_id")
-    out = all_ids.join(own, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    ids = classes.select("id", "least")
+    named = comps.join(ids, comps["node"] == ids["id"]).groupBy("component").agg(F.min("least").alias("component_id"))
+    facts = classes.join(others, classes["id"] == others["u"], "left").join(comps, classes["id"] == comps["node"], "left").join(named, "component", "left")
+    facts = C.cut(facts.select(F.col("v").alias("same"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
+    C.remove(classes, indexed, found, comps)
+    out = src.join(facts, (src["v"] == facts["same"]) & F.col("vec_id").isNotNull(), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

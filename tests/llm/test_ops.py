@@ -84,6 +84,24 @@ def test_components(spark):
     assert C.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_long_chains_take_few_rounds(spark, monkeypatch):
+    """Ascending, descending, zigzag and shuffled chains of 1,000 nodes, with one link a task so that tasks join nothing."""
+    rounds, counted = [], C.counted
+    monkeypatch.setattr(C, "counted", lambda df: rounds.append(1) or counted(df))
+    r = np.random.default_rng(0)
+    up = np.arange(1000)
+    zigzag = np.stack((up // 2, 999 - up // 2), 1).reshape(-1)[::2][:1000]
+    for names in (up, up[::-1], np.where(up % 2 == 0, up // 2, 999 - up // 2), r.permutation(1000), zigzag):
+        rounds.clear()
+        links = spark.createDataFrame([(int(a), int(b)) for a, b in zip(names, names[1:])], "u long, v long")
+        got = C.components(links, block=1).collect()
+        assert {x["component"] for x in got} == {int(names.min())} and len(got) == len(set(names.tolist())) and (len(rounds) - 1) / 2 <= 15
+    links = [(int(a), int(b)) for a, b in r.integers(0, 3000, (1500, 2))]
+    want = C.smallest(np.array([a for a, _ in links]), np.array([b for _, b in links]), np.arange(3000))
+    got = {x["node"]: x["component"] for x in C.components(spark.createDataFrame(links, "u long, v long"), block=40).collect()}
+    assert all(want[k] == c for k, c in got.items()) and set(got) == {k for a, b in links if a != b for k in (a, b)}
+
+
 # ------------------------------------------------------------------ 1 language
 
 
@@ -219,9 +237,39 @@ def test_embedding_brute_force(spark):
 
 def test_multi_sequence_is_sorted():
     r = np.random.default_rng(5)
-    a, b = r.random(7), r.random(9)
-    got = embedding.multi_sequence(a, b, 40)
-    assert [a[i] + b[j] for i, j in got] == pytest.approx(sorted(x + y for x in a for y in b)[:40]) and len(set(got)) == 40
+    a, b = r.random((3, 7)), r.random((3, 9))
+    i, j = embedding.multi_sequence(a, b, 40)
+    for n in range(3):
+        assert (a[n][i[n]] + b[n][j[n]]).tolist() == pytest.approx(sorted(x + y for x in a[n] for y in b[n])[:40]) and len(set(zip(i[n], j[n]))) == 40
+    assert embedding.multi_sequence(a, b, 100)[0].shape == (3, 63)
+
+
+def test_embedding_rows_of_all_kinds(spark):
+    """Repeated rows, one name for two vectors, no name, other lengths, components whose squares leave the range."""
+    e = lambda k, n=4: [float(k == j) for j in range(n)]
+    data = [(1, e(0)), (1, e(0)), (2, e(0)), (3, e(1)), (3, e(2)), (4, e(2)), (None, e(0)), (5, [1e200, 0.0, 0.0, 0.0]), (6, [1e-200, 0.0, 0.0, 0.0]), (7, e(0, 3)), (8, [2.0, 0.0, 0.0]), (9, e(3))]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, None, None), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 3, True), (3, 1, 3, True), (4, 1, 3, False), (5, 3, 1, False), (6, 3, 1, False), (7, 1, 7, True), (8, 1, 7, False), (9, 0, 9, True)]
+
+
+def test_embedding_recall_of_a_grid_with_links_at_the_threshold(spark):
+    """4,000 vectors in pairs at cosines from 0.9 to 0.93, in the directions that are hardest to meet, over 7 x 7 cells; and exact links of a hot cell in blocks."""
+    r = np.random.default_rng(11)
+    a = r.normal(size=(2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = r.normal(size=a.shape)
+    z -= (z * a).sum(1, keepdims=True) * a
+    c = r.uniform(0.901, 0.93, (2000, 1))
+    v = np.concatenate((a, c * a + np.sqrt(1 - c * c) * z / np.linalg.norm(z, axis=1, keepdims=True)))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {x["vec_id"]: x for x in embedding.near_duplicates(df).collect()}
+    assert len(embedding.fit(v, 4000, 0.9, 0.95, 64, 2048, 5).books[0]) == 7
+    assert 0.95 * 4000 <= sum(x["n_links"] for x in got.values()) <= 4000
+    assert all(got[k + 2000]["component_id"] in (k, k + 2000) for k in range(2000))
+    hot = r.normal(size=(1, 64)) + r.normal(0, 0.01, (300, 64))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(hot)], "vec_id long, embedding array<double>")
+    got = embedding.near_duplicates(df, per_cell=8, block=32).collect()
+    assert {x["component_id"] for x in got} == {0} and 0.97 * 300 * 299 <= sum(x["n_links"] for x in got) <= 300 * 299
 
 
 # ------------------------------------------------------------------ 6 packing
