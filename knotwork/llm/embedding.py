@@ -181,8 +181,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float =
     sample bounds the vectors that the codebooks are fitted on (those with the smallest hashes);
     every vector is indexed. Equal vectors are one class and are indexed once; their links are
     counted from the class's size. A vector is sent once to each run of cells that it visits. Runs
-    are compared in blocks of about `block` members and `block` visitors, so a hot cell is split
-    over many tasks, and a block gives counts and one link a vector, not its pairs.
+    are compared in blocks of about `block` members and eight times as many visitors (a member is
+    sent once to each block of visitors), so a hot cell is split over many tasks, and a block gives
+    counts and one link a vector, not its pairs.
     """
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
@@ -222,7 +223,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float =
     spot = lambda c: f"(({c} div wide) * wide + (({c} % wide) div run) * run)"  # noqa: E731  the first cell of a run names it
     stored = indexed.groupBy("width", F.expr(spot("home")).alias("spot")).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("sb"))
     sent = indexed.withColumn("spot", F.explode(F.expr(f"array_distinct(transform(cells, c -> {spot('c')}))")))
-    guests = sent.groupBy("width", "spot").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("vb"))
+    guests = sent.groupBy("width", "spot").agg(F.ceil(F.count(F.lit(1)) / (8 * block)).cast("long").alias("vb"))
     grid = stored.join(guests, ["width", "spot"])
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = sent.join(grid, ["width", "spot"]).select("width", "spot", F.pmod(F.xxhash64("id", F.lit(1)), "vb").alias("vb"), each("sb").alias("sb"), "id", "copies", "vec", "home", F.expr(f"filter(cells, c -> {spot('c')} = spot)").alias("here"))
