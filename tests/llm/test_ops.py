@@ -181,6 +181,18 @@ def test_sharding(spark, odd, none):
     assert sharding.shuffle_to_shards(odd, shards=40).count() == len(ODD) and sharding.shuffle_to_shards(none).count() == 0
 
 
+def test_sharding_deals_equal_rows_and_takes_any_column(spark):
+    """Half of the rows are one row: it is dealt over the buckets. Columns have the names that are used inside, and a map."""
+    docs = spark.createDataFrame([(k, prose(10, k)) for k in range(600)] + [(5000, "one " * 50)] * 600, "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "text", "1 AS __before", "doc_id AS __order", "2 AS __copies", "map('a', doc_id) AS m", "array(struct(map(1, text) AS x)) AS n", "3 AS shard", "4 AS bucket", "5 AS slot", "6 AS n_")
+    made = sharding.shuffle_to_shards(docs.repartition(3), shards=7, bucket_bytes=9000)
+    a = made.toPandas()
+    assert len(a) == 1200 and set(a.groupby("shard").size()) <= {171, 172} and all(sorted(g) == list(range(len(g))) for _, g in a.groupby("shard").slot)
+    one = a[a.doc_id == 5000]
+    assert len(one) == 600 and one.groupby("bucket").size().max() < 60 and (a.__order == a.doc_id).all() and (a.m.map(lambda m: m["a"]) == a.doc_id).all()
+    assert sorted(a[a.doc_id < 5000].doc_id) == list(range(600))
+
+
 def test_fisher_yates_is_uniform():
     seen = {}
     for k in range(6000):
