@@ -1,14 +1,16 @@
 """License scans by an exact set-similarity join.
 
-Text blocks (lines) and license templates are sets of words. Tokens are ordered by their frequency
-in the whole corpus, rarest first. A block can hold the share `threshold` of a template only if it
-has one of the template's first tokens in that order (prefix), enough tokens (length), and enough
-tokens after the first one that they share (position). What passes is verified on the sets.
+License templates and text blocks are sets of words. A block is any stretch of a text's words that
+is a quarter longer than the template, wherever lines end. Tokens are ordered by their frequency in
+the whole corpus, rarest first. A block can hold the share `threshold` of a template only if it has
+one of the template's first tokens in that order (prefix), enough tokens (length), and enough
+tokens after the first one that they share (position). What passes is verified on the words.
 """
 
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,36 @@ TEMPLATES = [
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("apache-2.0-header", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("mit-permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("no-warranty", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
 ]
 
+
+def read_templates(folder: str) -> list[tuple[str, str]]:
+    """(label, text) of every file in a folder of license texts, such as those that a system keeps of the licenses of its packages; the label is the file's name without its ending."""
+    out = []
+    for name in sorted(os.listdir(folder)):
+        if os.path.isfile(path := os.path.join(folder, name)):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out.append((os.path.splitext(name)[0] if name.endswith((".txt", ".md")) else name, f.read()))
+    return out
+
+
+def stretch(words: int) -> int:
+    """Words of a block for a template of so many words."""
+    return words + words // 4
+
+
 _SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-_NEWLINE = C.byte_table(lambda b: b != 10)
 
 
-def _hashes(text: str) -> np.ndarray:
+def _spelled(text: str) -> list[tuple[int, bytes]]:
+    """Hash and bytes of each word."""
     data = C.LOWER[np.frombuffer(text.encode(), np.uint8)]
-    return C.words(data, np.array([0, len(data)]), C.ALNUM)[0]
+    h, s, e, _ = C.words(data, np.array([0, len(data)]), C.ALNUM)
+    return [(int(x), data[a:b].tobytes()) for x, a, b in zip(h, s, e)]
 
 
 def _each(batch: pa.RecordBatch):
@@ -70,48 +93,75 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
     return {int(v): found.get(int(s), 0) for v, s in zip(vocab, C.signed(vocab))}
 
 
+def most_in_a_stretch(place: np.ndarray, token: np.ndarray, width: int) -> int:
+    """The most different tokens that stand in `width` neighbouring places. place: ascending."""
+    have: dict[int, int] = {}
+    best = end = 0
+    p, t = place.tolist(), token.tolist()
+    for begin in range(len(p)):
+        while end < len(p) and p[end] < p[begin] + width:
+            have[t[end]] = have.get(t[end], 0) + 1
+            end += 1
+        best = max(best, len(have))
+        have[t[begin]] -= 1
+        if not have[t[begin]]:
+            del have[t[begin]]
+    return best
+
+
 def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.8) -> DataFrame:
     """License labels of each document.
 
     docs: doc_id (long) and text; other columns are ignored. A-Z is lower-cased; words are runs of
-    digits, letters and non-ASCII bytes. A template's label is given where one line holds at least
-    `threshold` of the template's distinct words. Returns doc_id, n_words, n_base (places of
-    phrases), first_word and last_word (start of the first and last such place, else null),
-    base_labels, labels (phrases' and templates'), score (the largest share of a template that
-    reaches the threshold in a line, else 0). A null or empty text has no words and no labels.
-    Repeated rows give repeated results; an empty table an empty one.
+    digits, letters and non-ASCII bytes. A template of n words is found where n + n // 4 words in
+    a row, over the ends of lines, hold at least `threshold` of its distinct words. Returns doc_id,
+    n_words, n_base (places of phrases), first_word and last_word (start of the first and last such
+    place, else null), base_labels, labels (phrases' and templates'), score (the largest share of a
+    template that reaches the threshold, else 0). A null or empty text has no words and no labels.
+    A template without words is found nowhere. Repeated rows give repeated results; an empty table
+    an empty one; a long text is worked on as a whole.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = [(label, np.unique(_hashes(text))) for label, text in templates]
-    sets = [(label, s) for label, s in sets if len(s)]
-    count = frequencies(src, np.unique(np.concatenate([s for _, s in sets]))) if sets else {}
+    read = [(label, _spelled(text)) for label, text in templates]
+    read = [(label, w) for label, w in read if w]
+    count = frequencies(src, np.unique(np.array([h for _, w in read for h, _ in w], np.uint64))) if read else {}
     order = {h: n for n, h in enumerate(sorted(count, key=lambda h: (count[h], h)))}
-    ranked = [(label, sorted(order[int(h)] for h in s)) for label, s in sets]
+    spelling = {order[h]: raw for _, w in read for h, raw in w}
+    ranked = [(label, sorted({order[h] for h, _ in w}), stretch(len(w))) for label, w in read]
     index: dict[int, list[tuple[int, int]]] = {}
     need = []
-    for t, (_, tokens) in enumerate(ranked):
-        need.append(math.ceil(threshold * len(tokens) - 1e-9))
+    member = np.zeros((len(ranked), max(len(order), 1)), bool)
+    for t, (_, tokens, _) in enumerate(ranked):
+        need.append(max(1, math.ceil(threshold * len(tokens) - 1e-9)))
+        member[t, tokens] = True
         for i in range(len(tokens) - need[t] + 1):  # one of these is in every block that holds enough
             index.setdefault(tokens[i], []).append((t, i))
     known = np.array(sorted(order), np.uint64) if order else np.zeros(1, np.uint64)
     rank = np.array([order[int(h)] for h in known]) if order else np.array([-1])
     leading = np.zeros(max(len(order), 1), bool)
     leading[list(index)] = True
-    targets = {t: set(tokens) for t, (_, tokens) in enumerate(ranked)}
-    spelled = [(label, _hashes(p)) for label, p in phrases.items()]
-
-    def candidates(block: list[int]):
-        """(template, share) of a block given as its template tokens' ranks, ascending, from the rarest."""
-        tested = set()
-        for j, token in enumerate(block):
-            for t, i in index.get(token, ()):
-                size = len(ranked[t][1])
-                if t in tested or len(block) < need[t] or 1 + min(size - i - 1, len(block) - j - 1) < need[t]:
-                    continue
-                tested.add(t)
-                common = len(targets[t].intersection(block))
-                if common >= need[t]:
-                    yield t, common / size
+    spelled = [(label, _spelled(p)) for label, p in phrases.items()]
+
+    def templates_in(place: np.ndarray, token: np.ndarray, same):
+        """(template, share) of a text given by the places and ranks of its words that templates have; same(k): whether the words k are spelled like the template's."""
+        lead: dict[int, list[int]] = {}
+        first: dict[int, int] = {}
+        for k in np.flatnonzero(leading[token]).tolist():
+            for t, i in index[int(token[k])]:
+                lead.setdefault(t, []).append(int(place[k]))
+                first[t] = min(first.get(t, i), i)
+        for t, at in lead.items():
+            _, tokens, width = ranked[t]
+            mine = np.flatnonzero(member[t][token])
+            spots = np.array(at)
+            near = np.searchsorted(spots, place[mine] + width) > np.searchsorted(spots, place[mine] - width, "right")  # within a block of a prefix token
+            mine = mine[near]
+            # length: enough different tokens at all; position: enough of them from the first shared one on
+            if len(np.unique(token[mine])) < need[t] or len(tokens) - first[t] < need[t]:
+                continue
+            mine = mine[same(mine)]
+            if (most := most_in_a_stretch(place[mine], token[mine], width)) >= need[t]:
+                yield t, most / len(tokens)
 
     def run(batches):
         for batch in batches:
@@ -120,15 +170,17 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, phras
             first, last = [None] * n, [None] * n
             base: dict[int, set] = {}
             more: dict[int, set] = {}
-            for a, many, (h, s, _, begin), data, off in _each(batch):
+            for a, many, (h, s, e, begin), data, off in _each(batch):
                 n_words[a : a + many] = np.diff(begin)
                 doc = lambda w: np.searchsorted(begin, w, "right") - 1
                 for label, p in spelled:
-                    at = np.flatnonzero(h[: max(0, len(h) - len(p) + 1)] == p[0])
+                    at = np.flatnonzero(h[: max(0, len(h) - len(p) + 1)] == np.uint64(p[0][0]))
                     for k in range(1, len(p)):
-                        at = at[h[at + k] == p[k]]
+                        at = at[h[at + k] == np.uint64(p[k][0])]
                     at = at[doc(at) == doc(at + len(p) - 1)] if len(at) else at
                     for w in at.tolist():
+                        if any(data[s[w + k] : e[w + k]].tobytes() != raw for k, (_, raw) in enumerate(p)):
+                            continue
                         d = int(doc(w))
                         x, place = a + d, w - int(begin[d])
                         n_base[x] += 1
@@ -139,17 +191,14 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, phras
                     continue
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = np.flatnonzero(known[k] == h)
-                if not len(hit):
-                    continue
                 ranks = rank[k[hit]]
-                line = np.concatenate(([0], np.cumsum(data == 10)))[s[hit]] + doc(hit)  # a new number for each line and each text
-                live = np.unique(line[leading[ranks]])
-                keep = np.isin(line, live)
-                for number in np.split(np.flatnonzero(keep), np.flatnonzero(np.diff(line[keep])) + 1) if keep.any() else []:
-                    x = a + int(doc(hit[number[0]]))
-                    for t, share in candidates(np.unique(ranks[number]).tolist()):
-                        more.setdefault(x, set()).add(ranked[t][0])
-                        score[x] = max(score[x], share)
+                bounds = np.searchsorted(hit, begin)
+                for d in np.unique(doc(hit[leading[ranks]])).tolist():
+                    mine, token = hit[bounds[d] : bounds[d + 1]], ranks[bounds[d] : bounds[d + 1]]
+                    same = lambda z, mine=mine, token=token: np.array([data[s[mine[v]] : e[mine[v]]].tobytes() == spelling[int(token[v])] for v in z], bool)
+                    for t, share in templates_in(mine - begin[d], token, same):
+                        more.setdefault(a + d, set()).add(ranked[t][0])
+                        score[a + d] = max(score[a + d], share)
             join = lambda *sets: ",".join(sorted(set().union(*sets), key=lambda v: v.encode()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array([join(base.get(x, ())) for x in range(n)], pa.string()), pa.array([join(base.get(x, ()), more.get(x, ())) for x in range(n)], pa.string()), pa.array(score)],
@@ -177,16 +226,20 @@ place AS (
   WHERE ws[i + 1 : i + len(words)] = words
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS base FROM place GROUP BY 1
-), line AS (
-  SELECT doc_id, row_number() OVER () AS line, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
-), lw AS (SELECT DISTINCT doc_id, line, unnest(regexp_extract_all(l, '{pattern}')) AS word FROM line),
-tt(label, t) AS (VALUES {templates}),
-tw AS (SELECT DISTINCT label, unnest(regexp_extract_all({lower.format('t')}, '{pattern}')) AS word FROM tt),
-size AS (SELECT label, count(*) AS n FROM tw GROUP BY 1),
-found AS (
-  SELECT doc_id, label, max(c / n) AS share FROM (SELECT doc_id, line, label, count(*) AS c FROM lw JOIN tw USING (word) GROUP BY 1, 2, 3) JOIN size USING (label)
-  WHERE c >= ceil(0.8 * n - 1e-9) GROUP BY 1, 2
-), tmpl AS (SELECT doc_id, list(label) AS ls, max(share) AS score FROM found GROUP BY 1)
+), tt(label, t) AS (VALUES {templates}),
+tl AS (SELECT label, regexp_extract_all({lower.format('t')}, '{pattern}') AS l FROM tt),
+tw AS (SELECT DISTINCT label, unnest(l) AS word FROM tl),
+size AS (SELECT label, count(*) AS n, ceil(0.8 * count(*) - 1e-9) AS need FROM tw GROUP BY 1),
+width AS (SELECT label, len(l) + len(l) // 4 AS width FROM tl),
+dw AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM w),
+hit AS (SELECT doc_id, label, word, i FROM dw JOIN tw USING (word)),
+enough AS (SELECT doc_id, label FROM hit JOIN size USING (label) GROUP BY 1, 2 HAVING count(DISTINCT word) >= any_value(need)),
+near AS (SELECT * FROM hit SEMI JOIN enough USING (doc_id, label)),
+block AS (
+  SELECT a.doc_id, a.label, a.i, count(DISTINCT b.word) AS c FROM near a JOIN width USING (label)
+  JOIN near b ON b.doc_id = a.doc_id AND b.label = a.label AND b.i >= a.i AND b.i < a.i + width GROUP BY 1, 2, 3
+), found AS (SELECT doc_id, label, max(c / n) AS share FROM block JOIN size USING (label) WHERE c >= need GROUP BY 1, 2),
+tmpl AS (SELECT doc_id, list(label) AS ls, max(share) AS score FROM found GROUP BY 1)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(ls, [])))), ','), '') AS labels,

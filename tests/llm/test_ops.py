@@ -135,15 +135,14 @@ def brute_license(text):
     text = (text or "").translate({k: k + 32 for k in range(65, 91)})
     pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     labels, best = set(), 0
-    for line in text.split("\n"):
-        block = set(pattern.findall(line))
-        for label, t in license.TEMPLATES:
-            words = set(pattern.findall(t.lower()))
-            common = len(words & block)
-            if common >= 0.8 * len(words) - 1e-9:
-                labels.add(label)
-                best = max(best, common / len(words))
     words = pattern.findall(text)
+    for label, t in license.TEMPLATES:
+        spelled = pattern.findall(t.lower())
+        for k in range(len(words)):
+            common = len(set(spelled) & set(words[k : k + len(spelled) + len(spelled) // 4]))
+            if common >= 0.8 * len(set(spelled)) - 1e-9:
+                labels.add(label)
+                best = max(best, common / len(set(spelled)))
     base = [(label, k) for label, p in license.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
     return len(words), len(base), labels | {b[0] for b in base}, best
 
@@ -154,13 +153,29 @@ def test_license_brute_force(spark):
     texts = ODD + [" ".join(r.choice(pool, 60)) for _ in range(20)]
     for k, (_, t) in enumerate(license.TEMPLATES):
         w = t.split()
-        texts += [prose(20, k) + "\n" + t.upper() + "\n", " ".join(r.permutation(w)), " ".join(w[: int(len(w) * 0.8)]), " ".join(w[: int(len(w) * 0.7)]), t[: len(t) // 2] + "\n" + t[len(t) // 2 :]]
+        texts += [prose(20, k) + "\n" + t.upper() + "\n", " ".join(r.permutation(w)), " ".join(w[: int(len(w) * 0.8)]), " ".join(w[: int(len(w) * 0.7)]), t[: len(t) // 2] + "\n" + t[len(t) // 2 :], prose(9, k) + "\n# " + "\n# ".join(" ".join(w[j : j + 7]) for j in range(0, len(w), 7)), " ".join(v + " " + x for v, x in zip(w, VOCABULARY))]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     for row in license.scan(df).collect():
         n, base, labels, best = brute_license(texts[row["doc_id"]])
         assert (row["n_words"], row["n_base"], row["labels"], round(row["score"], 9)) == (n, base, ",".join(sorted(labels)), round(best, 9)), texts[row["doc_id"]]
 
 
+def test_license_wrapped_and_whole_texts(spark, tmp_path):
+    """A notice that is wrapped is found; whole licenses are read from a folder; a word counts only where it is spelled alike."""
+    import textwrap
+
+    mit = dict(license.TEMPLATES)["mit-permission"]
+    wrapped = "/*\n * " + "\n * ".join(textwrap.wrap(mit, 60)) + "\n */ int main() {}"
+    scattered = " ".join(x + " " + prose(3, k) for k, x in enumerate(mit.split()))
+    (tmp_path / "own.txt").write_text(" ".join(VOCABULARY[:300]))
+    own = license.read_templates(str(tmp_path))
+    assert [label for label, _ in own] == ["own"]
+    texts = [wrapped, scattered, prose(5, 1) + " " + own[0][1][5:-9] + prose(5, 2), prose(300, 3)]
+    got = {r["doc_id"]: r for r in license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=license.TEMPLATES + own).collect()}
+    assert "mit-permission" in got[0]["labels"] and "mit-text" in got[0]["labels"] and got[0]["score"] == 1 and got[2]["labels"] == "own"
+    assert "mit-permission" not in got[1]["labels"] and got[3]["labels"] == ""
+
+
 def test_license_odd(odd, none):
     assert license.scan(odd).count() == len(ODD) and license.scan(none).count() == 0
 
