@@ -1,17 +1,17 @@
 """Toxicity: a support vector machine on a subsequence string kernel with Nystrom landmarks.
 
 The kernel of two words counts their common subsequences of three letters, each weighted down with
-the letters it skips, so that inserted and left-out letters change it little. The machine is
-trained on labelled sentences as bags of words; its expansion in the landmarks is collapsed to one
-weight a subsequence, so a word is scored without a look at the landmarks.
+the letters it skips, so that inserted and left-out letters change it little. The kernel of two
+sentences sums it over all pairs of their words, and sums the product of two words' kernels over all
+pairs of neighbouring words, so that two words can be an insult which each of them is not.
+
+Training takes sentences and stretches of them from labelled documents. The landmarks are short
+sentences. What the machine expands in single words is collapsed to one weight a subsequence, so a
+word is scored without a look at the landmarks; those of two words stay.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +38,16 @@ for _b in range(128, 256):
 for _k, _v in _STANDS_FOR.items():
     _LETTER[_k[0]] = _LETTER[_v[0]]
 _EDGE = 63
-_SENTENCE = re.compile(r"[.!?\n]+")
+_STOP = C.byte_table(lambda b: b in b".!?")
+MOST_WORDS = 40  # a sentence without an end goes on in another one after so many words
 
 
 def word_letters(data: np.ndarray, off: np.ndarray):
-    """Letters of all words, one after the other; where each word starts (with the end); the index of each text's first word (with the end).
+    """Letters of all words, one after the other; where each word starts (with the end); the index of each text's first word (with the end); the number of each word's sentence.
 
     Words stand between white space. What is no letter is left out of them, and three or more words
-    of one letter in a row are taken together (s t u p i d).
+    of one letter in a row are taken together (s t u p i d). A sentence ends with its line, with a
+    stop before white space, or after MOST_WORDS words.
     """
     letters = _LETTER[data]
     size = np.diff(off)
@@ -57,7 +59,7 @@ def word_letters(data: np.ndarray, off: np.ndarray):
         begins[1:] |= space[:-1]
     keep = np.flatnonzero(letters)
     if not len(keep):
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(size) + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(len(size) + 1, np.int64), np.zeros(0, np.int64)
     chunk = np.cumsum(begins)[keep]  # white-space separated part that each letter stands in
     first = np.concatenate(([True], chunk[1:] != chunk[:-1]))
     starts = np.flatnonzero(first)
@@ -72,7 +74,13 @@ def word_letters(data: np.ndarray, off: np.ndarray):
             if b - a >= 2:
                 joined[a + 1 : b + 1] = True
     starts, owner = starts[~joined], owner[~joined]
-    return letters[keep], np.append(starts, len(keep)), np.searchsorted(owner, np.arange(len(size) + 1))
+    mark = np.zeros(len(data) + 1, np.int64)  # 1 where another sentence begins
+    mark[1:] = (data == 10) | _STOP[data] & np.append(space[1:], True)
+    mark[off[:-1]] = 1
+    number = np.cumsum(mark)[keep[starts]]
+    new = np.concatenate(([True], number[1:] != number[:-1]))
+    place = np.arange(len(number)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return letters[keep], np.append(starts, len(keep)), np.searchsorted(owner, np.arange(len(size) + 1)), np.cumsum(new | (place % MOST_WORDS == 0)) - 1
 
 
 def framed(letters: np.ndarray, bounds: np.ndarray):
@@ -128,13 +136,59 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, r
     return w
 
 
+class Marks:
+    """Landmarks: sentences of one or two words."""
+
+    def __init__(self, landmarks: list[tuple[bytes, ...]]):
+        self.landmarks = landmarks
+        self.words = sorted({w for m in landmarks for w in m})
+        at = {w: k for k, w in enumerate(self.words)}
+        self.explicit = _explicit(self.words)
+        self.member = np.zeros((len(self.words), len(landmarks)))  # how often a word stands in a landmark
+        for j, m in enumerate(landmarks):
+            for w in m:
+                self.member[at[w], j] += 1
+        self.two = [j for j, m in enumerate(landmarks) if len(m) == 2]
+        self.left, self.right = (np.array([at[landmarks[j][k]] for j in self.two], np.int64) for k in (0, 1))
+
+    def pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Products of word kernels with landmarks of two words, for neighbouring words given by their kernels with the landmarks' words."""
+        return first[:, self.left] * second[:, self.right]
+
+    def kernel(self, sentences: list[tuple[bytes, ...]]) -> np.ndarray:
+        """Kernel of each sentence (its words, in order; not empty) with each landmark."""
+        out = np.zeros((len(sentences), len(self.landmarks)))
+        for a in range(0, len(sentences), 500):
+            part = sentences[a : a + 500]
+            names = sorted({w for s in part for w in s})
+            at = {w: k for k, w in enumerate(names)}
+            k = _kernel(_explicit(names), self.explicit)
+            word = np.array([at[w] for s in part for w in s])
+            size = np.array([len(s) for s in part])
+            begin = np.cumsum(size) - size
+            out[a : a + len(part)] = np.add.reduceat(k[word], begin, axis=0) @ self.member
+            if self.two:
+                same = np.delete(np.arange(len(word) - 1), begin[1:] - 1)  # a word and the next one, in one sentence
+                if len(same):
+                    owner = np.repeat(np.arange(len(part)), size)[same]
+                    more = self.pairs(k[word[same]], k[word[same + 1]])
+                    for n, j in enumerate(self.two):
+                        out[a : a + len(part), j] += np.bincount(owner, weights=more[:, n], minlength=len(part))
+        return out
+
+
 class Model:
-    """Weight of each subsequence, bias, and the calibration of a document's score from its words."""
+    """Weight of each subsequence, of each landmark of two words, bias, and the calibration of a document's score from its sentences."""
 
-    def __init__(self, weights: np.ndarray, bias: float, calibration: np.ndarray):
-        self.weights, self.bias, self.calibration = weights.astype(np.float32), bias, calibration
+    def __init__(self, marks: Marks, alpha: np.ndarray, bias: float):
+        table = np.zeros(_CODES)
+        np.add.at(table, marks.explicit[1], (marks.member @ alpha)[marks.explicit[0]] * marks.explicit[2])
+        self.weights, self.bias = table.astype(np.float32), bias
+        self.marks, self.alpha = Marks([marks.landmarks[j] for j in marks.two]) if marks.two else None, alpha[marks.two]
+        self.calibration = np.zeros(6)
 
     def words(self, letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Scores of words, each as a sentence of its own."""
         chars, new = framed(letters, bounds)
         out = np.zeros(len(bounds) - 1)
         for w, c, v in subsequences(chars, new):
@@ -142,10 +196,10 @@ class Model:
         return out / norms(new) + self.bias
 
     def documents(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """(texts, 4): the largest word score in any sentence (from -2 to 1.2), logs of one plus the words with a score above FIRM and above 0, and of one plus all words."""
-        letters, bounds, first = word_letters(data, off)
-        out = np.zeros((len(off) - 1, 4))
-        out[:, 0] = -2.0
+        """(texts, 5): the largest score of a word or of two words that are an insult together (from -2 to 1.2), logs of one plus such stretches with a score above FIRM and above 0, and of one plus all words, and the largest score of a sentence (from -2 to 2)."""
+        letters, bounds, first, sentence = word_letters(data, off)
+        out = np.zeros((len(off) - 1, 5))
+        out[:, 0] = out[:, 4] = -2.0
         if len(bounds) > 1:
             key = _word_keys(letters, bounds)
             _, where, back = np.unique(key, return_index=True, return_inverse=True)
@@ -153,12 +207,26 @@ class Model:
             take = np.concatenate(([0], np.cumsum(size)))
             flat = letters[np.arange(take[-1]) - np.repeat(take[:-1] - bounds[:-1][where], size)]
             score = self.words(flat, take)[back]
+            total = score - self.bias
+            if self.marks:
+                chars, new = framed(flat, take)
+                k = _kernel(_framed_explicit(chars, new), self.marks.explicit)
+                near = np.flatnonzero(sentence[1:] == sentence[:-1])
+                live = near[(k[back[near]].max(axis=1) > 0.2) & (k[back[near + 1]].max(axis=1) > 0.2)]  # others add next to nothing
+                more = self.marks.pairs(k[back[live]], k[back[live + 1]]) @ self.alpha
+                total[live] += more
+                both = score[live] + score[live + 1] - self.bias + more
+                firm = more > 0.1
+                score[live[firm]] = np.maximum(score[live[firm]], both[firm])
             full = np.flatnonzero(np.diff(first))
             begin = first[:-1][full]
             out[full, 0] = np.clip(np.maximum.reduceat(score, begin), -2.0, 1.2)
             out[full, 1] = np.log1p(np.add.reduceat((score > FIRM).astype(float), begin))
             out[full, 2] = np.log1p(np.add.reduceat((score > 0).astype(float), begin))
             out[:, 3] = np.log1p(np.diff(first))
+            starts = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
+            whole = np.add.reduceat(total, starts) + self.bias
+            out[full, 4] = np.clip(np.maximum.reduceat(whole, np.searchsorted(starts, begin)), -2.0, 2.0)
         return out
 
     def probability(self, facts: np.ndarray) -> np.ndarray:
@@ -173,37 +241,54 @@ def _word_keys(letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return C.mix((sums[bounds[1:]] - sums[bounds[:-1]]) * q[bounds[:-1]]) ^ C.mix(np.diff(bounds).astype(np.uint64))
 
 
-def _sentence_words(text: str, pool: dict[bytes, bytes]) -> list[tuple[bytes, ...]]:
-    """The different words of each sentence, spelled as the kernel sees them. pool: one object for each word, as words repeat."""
-    out = []
-    for sentence in _SENTENCE.split(text):
-        data = sentence.encode()
-        letters, bounds, _ = word_letters(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-        raw, ends = letters.astype(np.uint8).tobytes(), bounds.tolist()
-        found = {raw[a:b] for a, b in zip(ends, ends[1:])}
-        if found:
-            out.append(tuple(pool.setdefault(w, w) for w in found))
-    return out
-
-
 def _explicit(words: list[bytes]):
+    """Subsequences of words, as (word, code, normed weight), and the number of words."""
     size = np.array([len(w) for w in words])
-    bounds = np.concatenate(([0], np.cumsum(size)))
-    chars, new = framed(np.frombuffer(b"".join(words), np.uint8).astype(np.int64), bounds)
-    parts = list(subsequences(chars, new))
-    w, c = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    v = np.concatenate([np.full(len(p[0]), p[2]) for p in parts]) / norms(new)[w]
-    return w, c, v, len(words)
+    return _framed_explicit(*framed(np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.concatenate(([0], np.cumsum(size)))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1500, negatives: int = 2500, most_bytes: int = 200_000, landmarks: int = 200, seed: int = 4) -> Model | None:
-    """Fits on at most `positives` and `negatives` labelled rows of labels (doc_id, toxic) whose text has at most `most_bytes` bytes.
+def _framed_explicit(chars: np.ndarray, bounds: np.ndarray):
+    parts = list(subsequences(chars, bounds))
+    w, c = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    return w, c, np.concatenate([np.full(len(p[0]), p[2]) for p in parts]) / norms(bounds)[w], len(bounds) - 1
+
+
+_SENTENCES = "doc_id long, y int, no int, words binary, f1 long, f2 long"
+
+
+def _sentences(batches):
+    """Sentences of labelled texts: words spelled as the kernel sees them with a 0 between, and two min-hashes of the text's neighbouring words; one more row (no -1) for each text."""
+    for batch in batches:
+        data, off = C.flat(batch.column("text"))
+        rows: list[tuple] = []
+        ids, labels = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist()
+        for a, b in C.runs(off):
+            letters, bounds, first, sentence = word_letters(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            raw, key = letters.astype(np.uint8).tobytes(), _word_keys(letters, bounds)
+            with np.errstate(over="ignore"):
+                near = C.mix(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + key[1:])
+            for t in range(b - a):
+                x, y = int(first[t]), int(first[t + 1])
+                f = [int(C.signed(np.array([(C.mix(near[x : y - 1] + np.uint64(k))).min()]))[0]) for k in (1, 2)] if y - x > 1 else [0, 0]
+                rows.append((ids[a + t], labels[a + t], -1, b"", *f))
+                breaks = x + np.flatnonzero(np.diff(sentence[x:y], prepend=-1)) if y > x else []
+                for no, (p, q) in enumerate(zip(breaks, [*breaks[1:], y])):
+                    rows.append((ids[a + t], labels[a + t], no, b"\0".join(raw[bounds[w] : bounds[w + 1]] for w in range(p, q)), *f))
+        cols = list(zip(*rows)) if rows else [()] * 6
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["doc_id", "y", "no", "words", "f1", "f2"])
+
+
+def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1500, negatives: int = 2500, sentences: int = 50_000, examples: int = 12_000, landmarks: int = 200, pairs: int = 32, seed: int = 4) -> Model | None:
+    """Fits on a bounded sample of labels (doc_id, toxic): `positives` and `negatives` rows, `sentences` sentences of either, those with the smallest hashes.
 
     A sentence takes the label of its document. In toxic documents most sentences are harmless: the
-    positive ones are those that hold a word which toxic documents have significantly more often
-    (then, in a second round, each toxic document's sentence with the highest score). A sentence
-    is a bag of words, of which the one with the highest score stands for it. None where one of the
-    labels is missing.
+    positive ones are those that hold a word, or two words in a row, which toxic documents have
+    significantly more often (then, in a second round, the best word of toxic documents without
+    any). The machine learns from these sentences and stretches, from clean sentences, and from
+    words of clean sentences (`examples` of each kind at most: the nearest to the landmarks, then a
+    uniform part). Whole texts stay on the executors; the driver gets the sampled sentences, and
+    five numbers of each sampled document for the calibration. None where one of the labels is missing.
     """
     toxic = F.col("toxic").cast("int")
     pos = labelled_sample(labels.where(toxic == 1), "toxic", positives, seed)
@@ -211,120 +296,158 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1500, negative
     y = {r["doc_id"]: r["y"] for r in neg.collect()} | {r["doc_id"]: r["y"] for r in pos.collect()}
     if len(set(y.values())) < 2:
         return None
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in y], "doc_id long"))  # positives + negatives ids at most
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most_bytes)
-    rows = sorted((r["doc_id"], r["text"]) for r in src.join(chosen, "doc_id", "left_semi").toLocalIterator())
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(list(y.items()), "doc_id long, y int"))  # positives + negatives ids at most
+    few = C.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id"))
+    split = C.cut(few.mapInArrow(_sentences, _SENTENCES))
+    drawn = lambda label: split.where((F.col("y") == label) & (F.col("no") >= 0)).orderBy(F.xxhash64("doc_id", "no", F.lit(seed)), "doc_id", "no").limit(sentences)
+    family = families([(r["doc_id"], r["f1"], r["f2"]) for r in split.where("no = -1").select("doc_id", "f1", "f2").collect()])
     pool: dict[bytes, bytes] = {}
-    return fit([(y[d], _sentence_words(t, pool), t) for d, t in rows], landmarks, seed)
+    rows = []
+    for label in (0, 1):
+        for r in sorted(drawn(label).select("doc_id", "no", "words").collect()):
+            rows.append((label, family[r["doc_id"]], r["doc_id"], tuple(pool.setdefault(w, w) for w in bytes(r["words"]).split(b"\0"))))
+    model = fit(rows, examples, landmarks, pairs, seed)
+    if model is not None:
+        facts = few.mapInArrow(_facts(model), "doc_id long, y int, " + ", ".join(f"x{k} double" for k in range(5))).collect()
+        judged = [r for r in facts if r["y"] or not _taught(family[r["doc_id"]])]
+        judged = sorted(judged if any(not r["y"] for r in judged) else facts)
+        model.calibration = calibrate(np.array([r[2:] for r in judged], float), np.array([r["y"] for r in judged], float))
+    C.remove(few, split)
+    return model
+
+
+def _facts(model: Model):
+    def run(batches):
+        for batch in batches:
+            data, off = C.flat(batch.column("text"))
+            x = np.zeros((batch.num_rows, 5))
+            for a, b in C.runs(off):
+                x[a:b] = model.documents(data[off[a] : off[b]], off[a : b + 1] - off[a])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *(pa.array(x[:, k]) for k in range(5))], ["doc_id", "y", *(f"x{k}" for k in range(5))])
+
+    return run
+
 
+def families(rows: list[tuple[int, int, int]]) -> dict[int, int]:
+    """A number for each document, the same for those that share one of two min-hashes: near copies. It depends on the hashes only."""
+    ids = np.array([r[0] for r in rows])
+    nodes, at = np.unique(np.array([r[1:] for r in rows], np.int64).reshape(-1, 2), return_inverse=True)
+    at = at.reshape(-1, 2)
+    label = C.smallest(at[:, 0], at[:, 1], nodes)[at[:, 0]] if len(rows) else []
+    return dict(zip(ids.tolist(), (int(x) for x in label)))
 
-def families(sets: list[set[bytes]], bands: int = 6, rows: int = 3) -> list[int]:
-    """A number for each set, the same for sets that share a band of min-hashes."""
-    root = list(range(len(sets)))
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
+def _taught(family: int) -> bool:
+    """Whether clean documents of a family teach; the others show what scores unseen words get."""
+    return family % 5 > 1
 
-    seen: dict[tuple, int] = {}
-    for k, words in enumerate(sets):
-        if words:
-            h = C.mix(np.array([zlib.crc32(w) for w in words], np.uint64))
-            low = [int(C.mix(h ^ C.mix(np.uint64(i + 1))).min()) for i in range(bands * rows)]
-            for b in range(bands):
-                other = seen.setdefault((b, *low[b * rows : (b + 1) * rows]), k)
-                root[find(k)] = find(other)
-    return [find(k) for k in range(len(sets))]
 
+def _contrast(unit: np.ndarray, family: np.ndarray, label: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many families of toxic and of clean documents each unit stands."""
+    number = np.unique(family, return_inverse=True)[1]
+    width = int(number.max()) + 1
+    return tuple(np.bincount(np.unique(unit[label == y] * width + number[label == y]) // width, minlength=many) for y in (1, 0))
 
-def fit(bags: list[tuple[int, list[tuple[bytes, ...]], str]], landmarks: int, seed: int) -> Model | None:
+
+def _significant(c: np.ndarray, other: np.ndarray, n: int, n_other: int, z: float) -> np.ndarray:
+    """How many times more often units stand in the n toxic sentences than in the clean ones, by a lower end of the count; 0 where that is under 4."""
+    low = (c - z * np.sqrt(c)) / max(n, 1) / ((other + 1) / max(n_other, 1))
+    return np.where(low > 4, low, 0)
+
+
+def fit(rows: list[tuple[int, int, int, tuple[bytes, ...]]], examples: int, landmarks: int, pairs: int, seed: int) -> Model | None:
+    """The machine, not yet calibrated, from sentences (label, family, document, words)."""
     rng = np.random.default_rng(seed)
-    if len({b[0] for b in bags}) < 2:
+    if len({r[0] for r in rows}) < 2:
         return None
-    held = [set().union(*b[1]) if b[1] else set() for b in bags]
-    family = families(held)
+    names = sorted({w for r in rows for w in r[3]})
+    at = {w: k for k, w in enumerate(names)}
+    size = np.array([len(r[3]) for r in rows])
+    word = np.array([at[w] for r in rows for w in r[3]])
+    owner = np.repeat(np.arange(len(rows)), size)
+    label, family = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+    taught = np.array([r[0] == 0 and _taught(r[1]) for r in rows])
+    if not taught.any():
+        taught = label == 0
+    letters = np.array([len(w) for w in names])
     # words are counted once for each family of near copies, else all words of a toxic text with copies look toxic
-    n_pos, n_neg = (len({f for f, b in zip(family, bags) if b[0] == y}) for y in (1, 0))
-    where: dict[tuple[int, int], set] = {}
-    for words, f, b in zip(held, family, bags):
-        where.setdefault((b[0], f), set()).update(words)
-    del held
-    in_pos, in_neg, learnt = Counter(), Counter(), Counter()
-    for (label, f), words in sorted(where.items(), key=lambda x: x[0]):
-        (in_pos if label else in_neg).update(words)
-        if not label and f % 5 > 1:  # the other clean texts show what scores unseen words get
-            learnt.update(words)
-    shown = learnt or in_neg
-    strong = {}
-    for w, c in in_pos.items():
-        low, other = (c - 1.64 * np.sqrt(c)) / n_pos, (in_neg[w] + 1) / n_neg
-        if len(w) >= 3 and low > 4 * other:
-            strong[w] = low / other
-    if not strong:  # few rows: the word with the largest ratio
-        best = max(sorted(w for w in in_pos if len(w) >= 3) or [None], key=lambda w: (in_pos[w] / n_pos + 1e-9) / ((in_neg[w] + 1) / n_neg) if w else 0)
-        if best is None:
+    c1, c0 = _contrast(word, family[owner], label[owner], len(names))
+    n1, n0 = (len({r[3] for r in rows if r[0] == y}) for y in (1, 0))
+    strength = np.where(letters >= 3, _significant(c1, c0, n1, n0, 1.64), 0)
+    if not strength.any():  # few rows: the word with the largest ratio
+        ratio = np.where((letters >= 3) & (c1 > 0), (c1 / n1 + 1e-9) / ((c0 + 1) / n0), 0)
+        if not ratio.any():
             return None
-        strong = {best: 1.0}
-    positive = sorted(strong)
-    negative = sorted(w for w in shown if len(w) >= 2)
-    if not negative:
+        strength[int(ratio.argmax())] = 1.0
+    strong = np.flatnonzero(strength)
+    # two words in a row of which none is strong
+    near = np.flatnonzero(owner[1:] == owner[:-1]) if len(word) > 1 else np.zeros(0, np.int64)
+    near = near[(strength[word[near]] == 0) & (strength[word[near + 1]] == 0)]
+    two: list[tuple[bytes, bytes]] = []
+    holds_two = np.zeros(len(rows), bool)
+    if pairs and len(near):
+        code, unit = np.unique(word[near] * len(names) + word[near + 1], return_inverse=True)
+        p1, p0 = _contrast(unit, family[owner[near]], label[owner[near]], len(code))
+        s = _significant(p1, p0, n1, n0, np.sqrt(2 * np.log(len(code) + 1)))  # of so many, some have large counts by chance
+        best = np.argsort(-s, kind="stable")[:pairs]
+        best = best[s[best] > 0]
+        two = [(names[x // len(names)], names[x % len(names)]) for x in code[best].tolist()]
+        holds_two[owner[near[np.isin(unit, best)]]] = True
+
+    shown = np.unique(word[taught[owner]])
+    shown = shown[(letters[shown] >= 2) & (strength[shown] == 0)]
+    if not len(shown):
         return None
-    picked = sorted(positive, key=lambda w: (-strong[w], w))[: landmarks // 2]
-    lm_pos = _explicit(picked)
-    if len(negative) > 40_000:  # the hardest and a uniform part
-        drawn = [negative[k] for k in np.sort(rng.choice(len(negative), 40_000, replace=False))]
-        common = sorted(shown, key=lambda w: (-shown[w], w))[:20_000]
-        negative = sorted(set(drawn) | {w for w in common if len(w) >= 2})
-    near = np.concatenate([_kernel(_explicit(negative[a : a + 4000]), lm_pos).max(axis=1) for a in range(0, len(negative), 4000)])
-    hard = np.argsort(-near, kind="stable")
-    close = [negative[k] for k in hard[: landmarks // 4]]
-    plain = [negative[k] for k in np.sort(rng.choice(len(negative), min(len(negative), landmarks - len(picked) - len(close)), replace=False))]
-    chosen = sorted({*picked, *close, *plain})
-    marks = _explicit(chosen)
-    k_mm = _kernel(marks, marks)
-    value, vector = np.linalg.eigh(k_mm)
+    picked = strong[np.argsort(-strength[strong], kind="stable")][: max(1, landmarks // 2)]
+    targets = _explicit([names[k] for k in picked])
+    likeness = np.concatenate([_kernel(_explicit([names[k] for k in shown[a : a + 4000]]), targets).max(axis=1) for a in range(0, len(shown), 4000)])
+    hard = shown[np.argsort(-likeness, kind="stable")]
+    some = lambda ids, most: ids if len(ids) <= most else ids[np.sort(rng.choice(len(ids), most, replace=False))]
+    chosen = np.unique(np.concatenate((picked, hard[: landmarks // 4], some(shown, max(1, landmarks - len(picked) - landmarks // 4)))))
+    marks = Marks([(names[k],) for k in chosen] + two)
+    value, vector = np.linalg.eigh(marks.kernel(marks.landmarks))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])[None]  # K_mm^(-1/2) on its span
 
-    counter = [negative[k] for k in hard[:8000]] + [negative[k] for k in np.sort(rng.choice(len(negative), min(len(negative), 4000), replace=False))]
-    counter += sorted(shown, key=lambda w: (-shown[w], w))[:3000]
-    counter = sorted(set(counter) - set(positive))
-
-    def learn(pos: list[bytes]):
-        words = [*pos, *counter]
-        x = np.concatenate([_kernel(_explicit(words[a : a + 4000]), marks) @ root for a in range(0, len(words), 4000)])
-        x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
-        t = np.concatenate((np.ones(len(pos)), -np.ones(len(counter))))
+    common = shown[np.argsort(-c0[shown], kind="stable")]
+    counter = np.unique(np.concatenate((hard[: examples // 2], some(shown, examples // 4), common[: examples // 4])))
+    holds = np.zeros(len(rows), bool)
+    holds[owner[strength[word] > 0]] = True
+    in_two = np.zeros(len(names), bool)
+    in_two[[at[w] for pair in two for w in pair]] = True
+    touches = np.zeros(len(rows), bool)  # clean sentences with one of two words that are an insult together come first
+    touches[owner[in_two[word]]] = True
+    clean = np.flatnonzero(taught)
+    clean = np.unique(np.concatenate((some(clean[touches[clean]], examples // 4), some(clean, examples // 4))))
+    toxic = some(np.flatnonzero((label == 1) & (holds | holds_two)), examples // 4)
+
+    def learn(strong: np.ndarray) -> Model:
+        pos = [(names[k],) for k in strong] + two + [rows[k][3] for k in toxic]
+        neg = [(names[k],) for k in counter if strength[k] == 0] + [rows[k][3] for k in clean]
+        x = np.concatenate((marks.kernel(pos + neg) @ root, np.ones((len(pos) + len(neg), 1))), axis=1)
+        t = np.concatenate((np.ones(len(pos)), -np.ones(len(neg))))
         # every word by the documents it stands in: a common word that scores too high spoils many
-        weight = np.array([1 + np.log1p((in_pos if k < len(pos) else in_neg)[v]) for k, v in enumerate(words)])
+        weight = np.array([1 + np.log1p((c1 if k < len(pos) else c0)[at[v[0]]]) if len(v) == 1 else 1.0 for k, v in enumerate(pos + neg)])
         weight[: len(pos)] *= max(1.0, weight[len(pos) :].sum() / weight[: len(pos)].sum() / 8)
         w = squared_hinge(x, t, weight, 0.02)
-        table = np.zeros(_CODES)
-        np.add.at(table, marks[1], (root @ w[:-1])[marks[0]] * marks[2])
-        return Model(table, float(w[-1]), np.zeros(5))
-
-    model = learn(positive)
-    # second round: a toxic document without any of these words may hold another; its best word counts if clean documents lack it
-    extra = Counter()
-    for label, sentences, _ in bags:
-        if label and sentences and not any(w in strong for s in sentences for w in s):
-            words = sorted(w for w in set().union(*sentences) if len(w) >= 4 and not in_neg[w])
-            if words:
-                size = np.array([len(w) for w in words])
-                s = model.words(np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.concatenate(([0], np.cumsum(size))))
-                if s.max() > 0:
-                    extra[words[int(s.argmax())]] += 1
-    if extra:
-        model = learn(sorted(set(positive) | set(extra)))
-
-    judged = [b for b, f in zip(bags, family) if b[0] or not learnt or f % 5 <= 1]
-    if all(b[0] for b in judged):
-        judged = bags
-    facts = np.concatenate([model.documents(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b[2].encode() for b in judged)])
-    labels = np.array([b[0] for b in judged], float)
-    return Model(model.weights, model.bias, calibrate(facts, labels))
+        return Model(marks, root @ w[:-1], float(w[-1]))
+
+    model = learn(strong)
+    # second round: a toxic document without any of these may hold another word; its best one counts if clean documents lack it
+    helped = {rows[k][2] for k in np.flatnonzero((label == 1) & (holds | holds_two))}
+    words_of: dict[int, set[int]] = {}
+    for k in np.flatnonzero(label == 1):
+        if rows[k][2] not in helped:
+            words_of.setdefault(rows[k][2], set()).update(at[w] for w in rows[k][3])
+    extra = set()
+    for mine in words_of.values():
+        mine = sorted(k for k in mine if letters[k] >= 4 and not c0[k])
+        if mine:
+            spelled = [names[k] for k in mine]
+            s = model.words(np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64), np.concatenate(([0], np.cumsum(letters[mine]))))
+            if s.max() > 0:
+                extra.add(mine[int(s.argmax())])
+    return learn(np.unique(np.concatenate((strong, sorted(extra))))) if extra else model
 
 
 def calibrate(facts: np.ndarray, labels: np.ndarray) -> np.ndarray:

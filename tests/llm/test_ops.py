@@ -565,11 +565,53 @@ def test_kernel_counts_gapped_subsequences():
 
 def test_words_lose_signs_and_join_letters():
     raw = "St-u.pid! s t u p i d a b 1d10t".encode()
-    letters, bounds, first = toxicity.word_letters(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    letters, bounds, first, _ = toxicity.word_letters(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     spelled = ["".join(chr(96 + c) for c in letters[a:b]) for a, b in zip(bounds, bounds[1:])]
     assert spelled == ["stupid", "stupidab", "idiot"] and list(first) == [0, 3]
 
 
+def test_sentences_end_at_stops_lines_and_after_forty_words():
+    texts = ["one two. three 4.5 four!  five\nsix", "", "seven eight", "w " * 2 + "xy " * 90]
+    raw = "".join(texts).encode()
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    _, _, first, sentence = toxicity.word_letters(np.frombuffer(raw, np.uint8), off)
+    parts = [np.unique(sentence[a:b], return_counts=True)[1].tolist() for a, b in zip(first, first[1:])]
+    assert parts == [[2, 3, 1, 1], [], [2], [40, 40, 12]] and (np.diff(sentence) >= 0).all()
+
+
+def test_kernel_of_sentences():
+    """Against sums over all pairs of words and of neighbouring words; the matrix of any sentences is positive."""
+    spell = lambda t: tuple(bytes(c - 96 for c in w.encode()) for w in t.split())
+    one = lambda a, b: float(toxicity._kernel(toxicity._explicit([a]), toxicity._explicit([b]))[0, 0])
+
+    def direct(s, t):
+        both = sum(one(a, c) * one(b, d) for a, b in zip(s, s[1:]) for c, d in zip(t, t[1:]))
+        return sum(one(a, c) for a in s for c in t) + both
+
+    marks = [spell(x) for x in ("rotten fish", "fish", "other banana", "ab", "rotten rotten")]
+    sentences = [spell(x) for x in ("a rotten fish today", "fish rotten", "ab", "nothing like it", "rotten rotten fish banana fish")] + marks
+    assert np.allclose(toxicity.Marks(marks).kernel(sentences), [[direct(s, m) for m in marks] for s in sentences])
+    square = toxicity.Marks(marks).kernel(marks)
+    assert np.allclose(square, square.T) and np.linalg.eigvalsh(square).min() > -1e-9
+
+
+def test_two_harmless_words_that_are_an_insult_together(spark):
+    """Either word stands in as many clean documents as toxic ones; only the two in a row are toxic."""
+    rows = []
+    for k in range(400):
+        toxic = k % 2
+        w = prose(40, k).split()
+        w[5], w[20] = ("gutter", "snipe")[k % 4 // 2], ("snipe", "gutter")[k % 4 // 2]
+        if toxic:
+            w[10:12] = ["gutter", "snipe"]
+        rows.append((k, " ".join(w) + ". " + prose(20, 5000 + k), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs)
+    tests = ["gutter " + prose(30, 9000) + " snipe", prose(10, 9001) + " gutter snipe " + prose(10, 9002), prose(10, 9001) + " gut-ter Snipe! " + prose(10, 9002), prose(50, 9003), "snipe gutter " + prose(10, 9004)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.predict(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()}
+    assert got[1] > 0.7 and got[2] > 0.7 and max(got[0], got[3], got[4]) < 0.5, got
+
+
 def test_toxicity_learns_insults_and_their_variants(spark, odd, none):
     rows = []
     for k in range(240):
