@@ -417,7 +417,7 @@ def test_all_windows_of_a_document_are_kept():
 
     text = " ".join(prose(60, 970) + " " + prose(40, 980 + k) for k in range(4))
     batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["doc_id", "text"])
-    rows = pa.Table.from_batches(substring._windows(5, 46, 6)([batch]))
+    rows = pa.Table.from_batches(substring._windows(5, 46, 6, np.zeros(0, np.uint64), False)([batch]))
     g, want = next(substring._sequences(batch, 5))[2], 0
     for seed in C.mix(np.arange(1, 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)):
         want += len(substring.compact_windows(C.mix(g ^ seed), np.array([0, len(g)]), 46)[1])
@@ -427,11 +427,74 @@ def test_all_windows_of_a_document_are_kept():
 def test_windows_meet_the_nearest_other_document():
     key, none = np.zeros(7, np.int64), np.zeros(7, np.int64)
     doc, pos = np.array([1, 2, 2, 2, 3, 3, 4]), np.arange(7)
-    got = [b.to_pydict() for b in substring._pairs_of(key, doc, pos, none, none, substring._surroundings(46), 1)]
-    pairs = {p for b in got for p in zip(b["pu"], b["pv"])}
+    got = [b.to_pydict() for b in substring._pairs_of(key, doc, pos << 32, none, none, 46, 1, False)]
+    pairs = {(a >> 32, c >> 32) for b in got for a, c in zip(b["pu"], b["pv"])}
     assert pairs == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (4, 3), (5, 3), (6, 5)}
 
 
+def test_spans_are_never_cut_short():
+    c = np.array([5, 40_000, 2_000_000, 900_000_000])
+    left, right = np.array([5, 31_809, 0, 3]), c + np.array([0, 8_191, 3_000_000, 800_000_000])
+    k, lo, at, hi = substring._unpack(substring._pack(3, left, c, right))
+    assert (k == 3).all() and (at == c).all() and (lo <= left).all() and (hi >= right).all()
+    assert lo[0] == 5 and hi[1] == 48_191 and lo[1] == 31_809 and (left - lo < 1 << 17).all() and (hi - right < 1 << 17).all()
+    with pytest.raises(ValueError):
+        next(substring._windows(5, 46, 16, np.zeros(0, np.uint64), False)([]))
+
+
+def test_a_run_around_a_place_lies_inside_any_repeat():
+    for least in (4, 5, 7, 20, 46, 100):
+        around = substring._surroundings(least)
+        assert len(around) == 8
+        for p in range(least):
+            assert any(left <= p and right <= least - 1 - p for left, right in around[:4])
+
+
+def test_variants_of_passages_are_one_class(spark):
+    """12 groups of 12 passages of 100 words, each with one or two words changed anywhere, among other words."""
+    r, texts, group = np.random.default_rng(20), [], []
+    for k in range(12):
+        base = prose(100, 6000 + k).split()
+        for j in range(12):
+            w = list(base)
+            for x in r.choice(100, r.integers(0, 3), replace=False):
+                w[x] = f"new{k}{j}{x}"
+            texts.append(prose(int(r.integers(20, 80)), 7000 + 20 * k + j) + " " + " ".join(w) + " " + prose(30, 8000 + 20 * k + j))
+            group.append(k)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = substring.repeats(df).collect()
+    assert len(got) == len({x["doc_id"] for x in got}) == 132
+    assert {(group[x["doc_id"]], x["class_id"]) for x in got} == {(k, 12 * k) for k in range(12)} and all(x["n_links"] > 0 and x["similarity"] >= 0.8 for x in got)
+
+
+def test_hot_keys_are_dealt_by_what_stands_around(spark, monkeypatch):
+    """A passage in 150 documents and a line in 300; with a low bound their keys are hot."""
+    shared, line = prose(70, 950), prose(20, 951)
+    texts = [prose(60 + k % 9, k) + " " + (shared if k % 2 else line) + " " + prose(40, 1000 + k) for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {tuple(x) for x in substring.repeats(df).select("doc_id", "start_word", "end_word", "class_id").collect()}
+    monkeypatch.setattr(substring, "LOOK", 2)
+    monkeypatch.setattr(substring, "HOT_LEAST", 20)
+    seen, keys = [], substring._hot_keys
+    monkeypatch.setattr(substring, "_hot_keys", lambda w: seen.append(keys(w)) or seen[-1])
+    got = {tuple(x) for x in substring.repeats(df).select("doc_id", "start_word", "end_word", "class_id").collect()}
+    assert len(seen[0]) and {x[0] for x in got} == set(range(3, 300, 2)) == {x[0] for x in want} and {x[3] for x in got} == {1}
+
+
+def test_repeats_of_all_kinds_of_rows(spark):
+    """Equal texts, a repeated row, a repeat inside one text, no id."""
+    one, two = prose(60, 1), prose(55, 2)
+    inside = two + " " + prose(30, 3) + " " + two
+    rows = [(1, one), (5, one), (5, one), (7, one), (2, inside), (3, "x y " + two + " z"), (3, "x y " + two + " z"), (None, one), (9, None), (4, "y " * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(x) for x in substring.repeats(df).select("doc_id", "start_word", "end_word", "class_id", "class_start", "n_links").collect())
+    assert [x[:4] for x in got] == [(2, 85, 140, 2), (3, 2, 57, 2), (5, 0, 60, 1), (7, 0, 60, 1)]  # by way of document 3
+    got = {tuple(x) for x in substring.repeats(df, within=True).select("doc_id", "start_word", "end_word", "class_id", "class_start").collect()}
+    assert {(2, 85, 140, 2, 0), (3, 2, 57, 2, 0)} <= got and {x[0] for x in got} == {2, 3, 4, 5, 7}
+    left = {x["doc_id"]: x["text"] for x in substring.cut_repeats(df).collect()}
+    assert left[1] == one and left[5].strip() == left[7].strip() == "" and left[2] == inside and left[3].split() == ["x", "y", "z"] and left[9] is None
+
+
 # ------------------------------------------------------------------ 8 decontamination
 
 
