@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knotwork.sources.scratch import remove, scratch
 
@@ -20,7 +21,7 @@ BLOCK = 1 << 20  # bytes of text that a kernel looks at together
 
 
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df, written to a table in the shared folder and read back: its lineage ends there."""
+    """df, written to a table in the shared folder and read back: its lineage ends there. Tables that df holds are deleted."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/t-{uuid.uuid4().hex}"
     writer = df.write
@@ -29,9 +30,32 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    remove(*getattr(df, "_held", ()))
     return out
 
 
+def hold(df: DataFrame, *tables: DataFrame | None) -> DataFrame:
+    """df, with the tables of cut() that only it reads: they can go when df has been written."""
+    df._held = tables
+    return df
+
+
+def free(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def map_rows(df: DataFrame, f, dropped: str | None = None) -> DataFrame:
+    """df.mapInArrow(f) with the columns of df, whatever their names hold, but for a last one that f drops."""
+    names = [c if "." not in c else free(c.replace(".", "_"), df.columns) for c in df.columns]
+    plain = df.toDF(*names)
+    fields = [x for x in plain.schema.fields if x.name != dropped]
+    return plain.mapInArrow(f, T.StructType(fields)).toDF(*(c for c in df.columns if c != dropped))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -170,7 +170,8 @@ def matches(docs: DataFrame, items: DataFrame, *, rate: float = 0.07, least: int
     than those of sentences. Null and empty items are left out. Returns doc_id, item_id, start and end (in the
     normalised document), distance and n_chars (of the item), one row for each place; places of one
     item do not overlap by more than an edit budget. Null and empty documents match nothing.
-    Repeated rows match as often as they come. Empty tables give an empty result.
+    Repeated rows match as often as they come. Long texts are searched as a whole. Empty tables
+    give an empty result.
 
     Items are collected in blocks of BLOCK_CHARS characters, and each block's automaton is matched
     against all documents; nothing of the documents is collected.
@@ -203,7 +204,7 @@ def clean(docs: DataFrame, items: DataFrame, *, rate: float = 0.07, least: int =
                 keep = [next(find(text.as_py()), None) is None for text in batch.column("text")]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = C.map_rows(docs, run)
     return docs
 
 

@@ -239,7 +239,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float =
     facts = C.cut(facts.select(F.col("v").alias("same"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
     C.remove(classes, indexed, found, comps)
     out = src.join(facts, (src["v"] == facts["same"]) & F.col("vec_id").isNotNull(), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return C.hold(out.withColumn("kept", F.col("vec_id") == F.col("component_id")), facts)
 
 
 def op5_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:

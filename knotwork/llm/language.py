@@ -131,22 +131,22 @@ class Model:
 SCALE = 20.0  # brings relative n-gram frequencies to about 1
 
 
-def train(labelled: DataFrame, *, per_label: int = 1000, most_labels: int = 200, epochs: int = 4, seed: int = 3) -> Model | None:
+def train(labelled: DataFrame, *, per_label: int = 1000, epochs: int = 4, seed: int = 3) -> Model | None:
     """Learns from labelled (text, lang, doc_id). None where there is nothing to learn from.
 
     Document frequencies are counted over all rows. Weights are fitted on a sample of about
-    `per_label` rows of each label (those with the smallest hashes of doc_id), of the `most_labels`
-    commonest labels; every fifth sampled row is kept for the temperature.
+    `per_label` rows of each label (those with the smallest hashes of doc_id), every label; every
+    fifth sampled row is kept for the temperature. Repeated rows are sampled together. The driver
+    holds the sampled rows' n-gram counts and a megabyte a label.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("doc_id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_label / n))).otherwise(share)
-    sample = rows.where(draw < share).mapInArrow(_counts, "lang string, total long, idx array<int>, cnt array<int>").toArrow().to_pydict()
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, per_label / n)) for lang, n in counts.items()], "lang string, share double")
+    sample = rows.withColumn("draw", draw).join(F.broadcast(shares), "lang").where("draw < share").select("lang", "text")  # one row a label
+    sample = sample.mapInArrow(_counts, "lang string, total long, idx array<int>, cnt array<int>").toArrow().to_pydict()
     df = np.zeros(BUCKETS + 1)
     total = 0
     for r in rows.select("text").mapInArrow(_document_frequency, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
@@ -182,7 +182,10 @@ def train(labelled: DataFrame, *, per_label: int = 1000, most_labels: int = 200,
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred and score (calibrated probability) to docs (text and other columns).
 
-    A text that is null or has no letter is `und` with score 0; so is every text where model is None.
+    A text that is null or has no letter is `und` with score 0; so is every text where model is
+    None. The whole of a long text is counted, in blocks of bounded size; of labels with one score
+    the first in order is taken; a repeated row is predicted as often as it comes, an empty table
+    gives an empty result, and columns named like the new ones are replaced.
     """
     passed = [c for c in docs.columns if c not in ("lang_pred", "score", "__letters")]
     src = docs.select(*[c for c in passed if c != "text"], F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))

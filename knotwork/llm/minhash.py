@@ -106,11 +106,14 @@ def _compare(percent: int):
 def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands: int = 24, rows: int = 4, pivots: int = 4, small: int = 32, block: int = 256) -> DataFrame:
     """Groups of documents joined by links of shingle Jaccard >= percent / 100.
 
-    docs: doc_id (unique, not null; long) and text; other columns are ignored. Lower-cases A-Z,
+    docs: doc_id (long) and text; other columns are ignored. Lower-cases A-Z,
     takes words between ASCII white space and runs of `size` words. Null and empty texts and
     texts of white space have the empty set and link with nothing. Returns doc_id, n_shingles,
     component_id (smallest doc_id reachable by links, itself included), kept, and class_id (the
-    smallest doc_id with the same set). An empty table gives an empty result.
+    smallest doc_id with the same set). A repeated row comes back as often as it came; rows with
+    one doc_id and several texts are linked by any of them. A row without doc_id links with nothing,
+    has no component and is kept. Long texts are hashed as a whole. An empty table gives an empty
+    result.
 
     A pair at Jaccard 0.8 shares none of 24 bands of 4 values with probability 4e-6 (a band of
     two minima and two maxima matches with probability of about J^4).
@@ -125,7 +128,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands:
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = C.cut(src.mapInArrow(_signatures(size, bands, rows), _SIGNED))
-    filled = signed.where("n_shingles > 0")
+    filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = C.cut(filled.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")))
 
     keys = classes.select(F.col("class_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
@@ -141,17 +144,21 @@ def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands:
     same = F.size(F.array_intersect("su", "sv"))
     enough = same * 100 >= (F.size("su") + F.size("sv") - same) * percent
 
+    made: list[DataFrame] = []
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, na, b, nb), on the full sets."""
         near = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         near = near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        return C.cut(near.join(left, "u").join(right, "v").where(enough).select("u", "v"))
+        made.append(C.cut(near.join(left, "u").join(right, "v").where(enough).select("u", "v")))
+        return made[-1]
 
     def split_buckets(comps: DataFrame) -> DataFrame:
         """Members of buckets that hold several components, with the size of the bucket and whether their component is the bucket's largest."""
         now = members.join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         by = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("comps > 1")
-        return C.cut(now.join(by, "key").select("key", "id", "n", "comp", "members", "others", (F.col("comp") == F.col("main")).alias("main")))
+        made.append(C.cut(now.join(by, "key").select("key", "id", "n", "comp", "members", "others", (F.col("comp") == F.col("main")).alias("main"))))
+        return made[-1]
 
     # first round: every member of a bucket against the one of its members that shares most buckets
     degree = members.groupBy("id").agg(F.sum("members").alias("degree"))
@@ -170,7 +177,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands:
     drawn = drawn.select("key", F.explode(F.array(*drawn.columns[1:])).alias("p")).select("key", F.col("p.b").alias("b"), F.col("p.nb").alias("nb"), F.col("p.cb").alias("cb"))
     many = rows_a.where((F.col("members") > small) & ~F.col("main")).drop("members", "main").join(drawn, "key").where("ca <> cb")
     links = links.unionByName(confirmed(few.unionByName(many)))
-    C.remove(current, comps)
+    C.remove(comps)
     comps = C.components(links)
 
     # third round: what large buckets still hold outside their largest component, against all their members, block by block
@@ -185,15 +192,32 @@ def near_duplicates(docs: DataFrame, *, size: int = 2, percent: int = 80, bands:
     links = links.unionByName(found)
     C.remove(comps)
     comps = C.components(links)
+    C.remove(members, sets, found, *made)
     merged = classes.select("n_shingles", "f1", "f2", "class_id")
     merged = merged.join(comps, merged["class_id"] == comps["node"], "left").drop("node")
     on = ["n_shingles", "f1", "f2"]
     out = signed.select("doc_id", *on).join(merged, on, "left")
-    return out.select(
+    named = F.col("doc_id").isNotNull()
+    out = out.select(
         "doc_id", "n_shingles",
-        F.coalesce("component", "class_id", "doc_id").alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-    ).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        F.when(named, F.coalesce("component", "class_id", "doc_id")).alias("component_id"),
+        F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"),
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return C.hold(out, signed, classes, comps)
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component of near_duplicates(), with all its columns: one of the smallest doc_id. Rows without doc_id stay."""
+    found = C.cut(near_duplicates(docs, **options))
+    gone = C.cut(found.where(~F.col("kept")).select("doc_id").distinct())
+    again = C.cut(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    C.remove(found)
+    same = lambda a, b: a["doc_id"].cast("long") == b["doc_id"]
+    out = docs.join(gone, same(docs, gone), "left_anti")
+    if not again.isEmpty():
+        once = out.join(again, same(out, again), "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(again, same(out, again), "left_anti").unionByName(once)
+    return C.hold(out, gone, again)
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

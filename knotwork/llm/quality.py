@@ -135,7 +135,7 @@ def _rows(batches):
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
-    chars = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.length("text").cast("double")
+    chars = F.col("n_chars").try_cast("double") if "n_chars" in docs.columns else F.length("text").cast("double")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), chars.alias("n_chars"))
 
 
@@ -164,7 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 6000, rank: int =
 
 
 def predict(docs: DataFrame, model: Machine | None) -> DataFrame:
-    """doc_id and score: how likely the label is 1. Null and empty texts are scored as empty; 0.5 where model is None. Repeated rows are scored each."""
+    """doc_id and score: how likely the label is 1.
+
+    Null and empty texts are scored as empty; 0.5 where model is None. Whole texts are read, long
+    ones too; n_chars is taken as missing where it is no number, other columns are ignored.
+    Repeated rows are scored each and equal texts with one n_chars alike; an empty table gives an
+    empty result.
+    """
 
     def run(batches):
         for batch in batches:

@@ -62,9 +62,7 @@ def shuffle_to_shards(docs: DataFrame, *, shards: int = 40, seed: int = 11, buck
     the driver nor a broadcast holds what grows with the corpus.
     """
     names = [c for c in docs.columns if c not in ("bucket", "shard", "slot")]
-    own = {c.lower() for c in names}
-    free = lambda c: c if c not in own else free(c + "_")
-    order, before, copies = free("__order"), free("__before"), free("__copies")
+    order, before, copies = (C.free(c, names) for c in ("__order", "__before", "__copies"))
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     plain = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if _holds_map(kinds[c]) else F.col(f"`{c}`")

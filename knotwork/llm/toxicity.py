@@ -484,7 +484,12 @@ def _kernel(left, right) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id and score: how likely the label is 1. Null and empty texts are scored as texts without words; 0 where model is None. Repeated rows are scored each."""
+    """doc_id and score: how likely the label is 1.
+
+    Null and empty texts are scored as texts without words; 0 where model is None. Whole texts are
+    read, long ones too; other columns are ignored. Repeated rows are scored each and equal texts
+    alike; an empty table gives an empty result.
+    """
 
     def run(batches):
         for batch in batches:
@@ -498,7 +503,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_below(docs: DataFrame, model: Model | None, score: float) -> DataFrame:
-    """The documents whose score is below `score`, with all their columns."""
+    """The documents whose score is below `score`, with all their columns, whatever these are named. Null and empty texts count as texts without words; repeated rows stay or go together; an empty table stays empty."""
 
     def run(batches):
         for batch in batches:
@@ -508,7 +513,7 @@ def keep_below(docs: DataFrame, model: Model | None, score: float) -> DataFrame:
                 keep[a:b] = model.probability(model.documents(data[off[a] : off[b]], off[a : b + 1] - off[a])) < score
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.map_rows(docs, run)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
