@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from knotwork.sources.scratch import remove, scratch
 
-BLOCK = 1 << 20  # bytes of text that a kernel looks at together
+BLOCK = 1 << 18  # bytes of text that a kernel looks at together
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -84,6 +84,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def small(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in smaller ones, so that what is made of them stays small too."""
+    for batch in batches:
+        for a in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(a, rows)
+
+
 def runs(off: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes together; a longer text comes alone."""
     a, n = 0, len(off) - 1

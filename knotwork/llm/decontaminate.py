@@ -183,7 +183,7 @@ def matches(docs: DataFrame, items: DataFrame, *, rate: float = 0.07, least: int
         def run(batches, block=block):
             find = _finder(block, rate)
             sizes = [len(normal(text)) for _, _, text in block]
-            for batch in batches:
+            for batch in C.small(batches):
                 rows: list[tuple] = []
                 for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                     rows += [(d, block[n][0], a, e, x, sizes[n]) for n, a, e, x in find(text.as_py())]
@@ -200,7 +200,7 @@ def clean(docs: DataFrame, items: DataFrame, *, rate: float = 0.07, least: int =
 
         def run(batches, block=block):
             find = _finder(block, rate)
-            for batch in batches:
+            for batch in C.small(batches):
                 keep = [next(find(text.as_py()), None) is None for text in batch.column("text")]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

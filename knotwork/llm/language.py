@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     keep = [f for f in src.schema.fields if f.name not in ("text", "__letters")]
 
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             best, prob = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for a, chars, grams in _grams(batch) if model else ():
                 n = np.diff(chars)

@@ -164,7 +164,7 @@ def scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, phras
                 yield t, most / len(tokens)
 
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             n = batch.num_rows
             n_words, n_base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
             first, last = [None] * n, [None] * n

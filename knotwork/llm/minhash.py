@@ -47,7 +47,7 @@ def _signatures(size: int, bands: int, rows: int):
         return out
 
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             n, f1, f2, sig, some = [], [], [], [], []
             for _, s in _sets(batch, size):
                 n.append(len(s))
@@ -70,7 +70,7 @@ def _signatures(size: int, bands: int, rows: int):
 
 def _full_sets(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             each = [C.signed(s) for _, s in _sets(batch, size)]
             ends = np.concatenate(([0], np.cumsum([len(s) for s in each]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64)))], ["doc_id", "shingles"])

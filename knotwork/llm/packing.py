@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, *, tokenizer: str, end_id: int = 2, most: int = 4096
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             texts = ["" if x is None else x for x in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_pylist()
             at = 0

@@ -258,7 +258,7 @@ _SENTENCES = "doc_id long, y int, no int, words binary, f1 long, f2 long"
 
 def _sentences(batches):
     """Sentences of labelled texts: words spelled as the kernel sees them with a 0 between, and two min-hashes of the text's neighbouring words; one more row (no -1) for each text."""
-    for batch in batches:
+    for batch in C.small(batches):
         data, off = C.flat(batch.column("text"))
         rows: list[tuple] = []
         ids, labels = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist()
@@ -318,7 +318,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1500, negative
 
 def _facts(model: Model):
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             data, off = C.flat(batch.column("text"))
             x = np.zeros((batch.num_rows, 5))
             for a, b in C.runs(off):
@@ -492,7 +492,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             data, off = C.flat(batch.column("text"))
             score = np.zeros(batch.num_rows)
             for a, b in C.runs(off) if model else ():
@@ -506,7 +506,7 @@ def keep_below(docs: DataFrame, model: Model | None, score: float) -> DataFrame:
     """The documents whose score is below `score`, with all their columns, whatever these are named. Null and empty texts count as texts without words; repeated rows stay or go together; an empty table stays empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             data, off = C.flat(batch.column("text"))
             keep = np.ones(batch.num_rows, bool)
             for a, b in C.runs(off) if model else ():
