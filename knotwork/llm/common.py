@@ -60,6 +60,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of `rows` rows where the session leaves Spark's default of 10,000: JVM and worker hold a batch of whole texts several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def id_crc(column: str = "doc_id"):
     """crc32 of the id as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
