@@ -213,7 +213,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     again = C.cut(found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
     C.remove(found)
     same = lambda a, b: a["doc_id"].cast("long") == b["doc_id"]
-    out = docs.join(gone, same(docs, gone), "left_anti")
+    away = gone.hint("merge")  # one plan at every size: what goes grows with the corpus
+    out = docs.join(away, same(docs, away), "left_anti")
     if not again.isEmpty():
         once = out.join(again, same(out, again), "left_semi").dropDuplicates(["doc_id"])
         out = out.join(again, same(out, again), "left_anti").unionByName(once)
