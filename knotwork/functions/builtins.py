@@ -16,21 +16,29 @@ NAMES = (
 )
 
 
-def iid(catalog, label, key):
-    """Column with the iid: a number for the type, then the instance's key."""
-    n = F.lit(0)
-    for k, t in enumerate(catalog.types):
-        n = F.when(label == t, F.lit(k)).otherwise(n)
-    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(n)), 4, "0"), F.lpad(F.lower(F.hex(key.cast("bigint"))), 16, "0"))
-
-
-def parse_iid(catalog, text: str) -> tuple[str | None, int]:
-    digits = text[2:]
-    labels = list(catalog.types)
-    if len(digits) != 20 or int(digits[:4], 16) >= len(labels):
-        return None, 0
-    key = int(digits[4:], 16)
-    return labels[int(digits[:4], 16)], key - (1 << 64) if key >= 1 << 63 else key
+def iid(c, types, label, key):
+    """Column with the iid of instances of these types: a number for the type, then the key; of a key that is no whole number the hash of its text. c: the compiler."""
+    out = F.lit(None).cast("string")
+    for k, t in enumerate(c.catalog.types):
+        if t in types:
+            rest = F.lpad(F.lower(F.hex(key.cast("bigint"))), 16, "0") if c._iid_type(t) == "bigint" else F.md5(key.cast("string").cast("binary"))
+            out = F.when(label == t, F.concat(F.lit(f"0x{k:04x}"), rest)).otherwise(out)
+    return out
+
+
+def with_iid(c, types, label, key, text: str):
+    """Condition that an instance has this iid. A whole number is compared as such."""
+    labels, digits = list(c.catalog.types), text[2:].lower()
+    t = labels[int(digits[:4], 16)] if len(digits) > 4 and int(digits[:4], 16) < len(labels) else None
+    if t not in types:
+        return F.lit(False)
+    if c._iid_type(t) != "bigint":
+        return (label == t) & (iid(c, {t}, label, key) == "0x" + digits)
+    if len(digits) != 20:
+        return F.lit(False)
+    n = int(digits[4:], 16)
+    n -= (1 << 64) * (n >= 1 << 63)
+    return (label == t) & (key == F.lit(n if {c._iid_type(x) for x in types} == {"bigint"} else str(n)))
 
 
 def _edges(catalog, kind: str):
@@ -53,7 +61,7 @@ def apply(c, plan: Plan, call: A.Call, outs: list[str]) -> tuple[Plan, bool]:
     name, args = call.name, list(call.args)
     if name == "iid":
         v = args[0].name
-        return _bind(c, plan, outs, [iid(c.catalog, plan.label(v), F.col(f"`{v}`"))])
+        return _bind(c, plan, outs, [iid(c, plan.vars[v].types, plan.label(v), F.col(f"`{v}`"))])
     if name == "label":
         return _bind(c, plan, outs, [plan.label(args[0].name) if isinstance(args[0], A.Var) else F.lit(resolve(c.catalog, args[0]))])
     stream = name.endswith("all_meta")

@@ -306,6 +306,8 @@ class Tabling:
                     for table in (self.answers, self.calls):
                         table.update({g: cut(df) for g, df in table.items() if df is not None})
                 fresh_calls, fresh_answers = new_calls, new_answers
+            else:
+                raise QueryError(f"{f.name}: no end after {self.MOST_ROUNDS} rounds")
         finally:
             self.c.tabled = outer
         infos = self.infos[f.name]

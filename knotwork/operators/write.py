@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce as fold
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knotwork.errors import QueryError, WriteError
@@ -52,7 +52,12 @@ class Writer:
     def _rows(self, plan: Plan | None) -> Plan:
         """The input rows, each with a number, in a table."""
         plan = plan if plan is not None else Plan(self.c.spark.range(1).select(), {})
-        df = cut(plan.df.withColumn("#n", F.monotonically_increasing_id()))
+        df = cut(plan.df.withColumn("#m", F.monotonically_increasing_id()))
+        # rows of a partition are numbered on from those of the partitions before it, so that numbers have no gaps
+        part = F.shiftright("#m", 33)
+        sizes = df.groupBy(part.alias("#part")).agg(F.count(F.lit(1)).alias("#size"), F.min("#m").alias("#low"))
+        before = sizes.select("#part", F.coalesce(F.sum("#size").over(Window.orderBy("#part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("#before"))
+        df = cut(df.join(before, part == F.col("#part")).withColumn("#n", F.col("#before") + F.col("#m").bitwiseAND(F.lit((1 << 33) - 1))).drop("#m", "#part", "#before"))
         return Plan(df, plan.vars, ["#n"])
 
     def _some(self, df: DataFrame, cond, message: str) -> None:

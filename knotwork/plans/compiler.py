@@ -587,10 +587,8 @@ class Compiler:
         if isinstance(c, A.Iid):
             if c.thing.name not in have:
                 return None
-            label, key = B.parse_iid(self.catalog, c.iid)
-            if label is None:
-                return plan.with_df(plan.df.where(F.lit(False))), False
-            return plan.with_df(plan.df.where((plan.label(c.thing.name) == label) & (F.col(f"`{c.thing.name}`").cast("string") == str(key)))), False
+            v = c.thing.name
+            return plan.with_df(plan.df.where(B.with_iid(self, plan.vars[v].types, plan.label(v), F.col(f"`{v}`"), c.iid))), False
         if isinstance(c, A.Isa):  # with a type variable
             x, t = c.thing.name, c.type.name
             if x not in have:

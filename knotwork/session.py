@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from functools import lru_cache
+from functools import reduce as fold
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +54,25 @@ def given_plan(compiler: Compiler, g: A.Given, rows: DataFrame | None) -> Plan:
         if info.tagged and tag(v.name) not in df.columns:
             raise QueryError(f"given ${v.name} needs its type in column {tag(v.name)}")
         if info.kind == "object":
-            for t in info.types:
-                frames = [compiler.store.frame(s.table).select((F.col(s.key[0]) if len(s.key) == 1 else F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(s.key)))).alias("#k"), F.lit(t).alias("#kt")) for s in compiler.store.sources(t)]
-                known = frames[0] if t == sorted(info.types)[0] else known.unionByName(frames[0])  # noqa: F821
-            cond = (F.col(f"`{v.name}`") == F.col("#k")) & ((F.col(f"`{tag(v.name)}`") if info.tagged else F.lit(next(iter(info.types)))) == F.col("#kt"))
-            if not df.where(F.col(f"`{v.name}`").isNotNull()).join(known, cond, "left_anti").isEmpty():
+            kinds = {compiler._iid_type(t) for t in info.types}
+            kind = "string" if len(kinds) > 1 else next(iter(kinds))
+            if kind in ("bigint", "string"):
+                df = df.withColumn(v.name, F.col(f"`{v.name}`").cast(kind))
+            elif dict(df.dtypes)[v.name] != kind:
+                raise QueryError(f"given ${v.name} is {dict(df.dtypes)[v.name]}, not {kind}")
+            frames = []
+            for t in sorted(info.types):
+                sources = compiler.store.sources(t)
+                for s in sources:
+                    key = F.col(s.key[0]) if len(s.key) == 1 else F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(s.key)))
+                    key = F.struct(F.lit(s.table).alias("table"), key.alias("key")) if len(sources) > 1 else key
+                    frames.append(compiler.store.frame(s.table).select(key.cast(kind).alias("#k"), F.lit(t).alias("#kt")))
+            label = F.col(f"`{tag(v.name)}`") if info.tagged else F.lit(next(iter(info.types)))
+            some = df.where(F.col(f"`{v.name}`").isNotNull())
+            if frames:
+                known = fold(lambda a, b: a.unionByName(b), frames)
+                some = some.join(known, (F.col(f"`{v.name}`") == F.col("#k")) & (label == F.col("#kt")), "left_anti")
+            if not some.isEmpty():
                 raise QueryError(f"given ${v.name} does not exist")
     keep = [c for v, i in vars.items() for c in ([v, tag(v)] if i.tagged else [v])]
     return Plan(df.select(*(F.col(f"`{c}`") for c in keep)), vars)
@@ -144,21 +159,32 @@ class _Files:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Writes a file that is not there yet; false if it is."""
+        """A file that is not there yet, whole or not at all; false if it is there.
+
+        The text is written under a name of its own, then moved. Hadoop's file systems move to a
+        path that exists only by failing, and the stores of which that is not true create files
+        whole, when they are closed.
+        """
         fs, p = self._fs(path)
+        if fs.exists(p):
+            return False
+        draft = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
         try:
-            stream = fs.create(p, False)
+            context.rename(draft, p, self.spark._sc._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Exception as e:
+            fs.delete(draft, False)
             if "Exist" in str(e):
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return True
 
     def list(self, path: str) -> list[str]:
         fs, p = self._fs(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return sorted(n for s in fs.listStatus(p) if not (n := s.getPath().getName()).startswith(("_", "."))) if fs.exists(p) else []
 
     def delete(self, path: str) -> None:
         fs, p = self._fs(path)

@@ -173,21 +173,27 @@ def test_given(people, spark):
         tx.query("given $n: integer; match $p isa person;", df)
 
 
-FRIENDS = """insert $x isa person, has age 10, has name "Alice", has name "Alicia", has name "Jones"; $y isa person, has age 11, has name "Bob"; $z isa person, has age 12, has name "Charlie";
-friendship (friend: $x, friend: $y); friendship (friend: $y, friend: $z);"""
+LIBRARY = """define attribute isbn value string; attribute title value string; attribute pages value integer;
+entity book, owns isbn @key, owns title @card(0..), owns pages, plays citation:source, plays citation:target; relation citation, relates source, relates target;"""
+BOOKS = """insert $a isa book, has isbn "i1", has title "Knots", has title "Noeuds", has pages 210; $b isa book, has isbn "i2", has title "Ropes", has pages 95; $c isa book, has isbn "i3", has title "Sails", has title "Segel", has pages 330;
+citation (source: $a, target: $b); citation (source: $a, target: $c); citation (source: $c, target: $b);"""
 
 
 def test_fetch(database):
-    db = database(PEOPLE.replace("owns age @card(0..)", "owns age"), FRIENDS)
+    """Every kind of leaf, for each book that cites another one."""
+    db = database(LIBRARY, BOOKS)
     with db.transaction() as tx:
-        df = tx.query("""match $x isa person, has $a; $a isa! $t; $t label age; $a == 10;
-            fetch { "type": $t, "attr": $a, "age": $x.age, "next": $a + 1, "first": ( match $x has name $n; sort $n; return first $n; ),
-              "n": ( match $x has name $n; return count($n); ), "docs": [ match $x has name $n; fetch { "name": $n }; ], "names": [ $x.name ],
-              "friends": [ match friendship (friend: $x, friend: $f); $f has name $m; return { $m }; ], "all": { $x.* }, "deep": { "a": { "b": $a } }, "label": person };""")
-        doc = json.loads(documents(df).first()[0])
-    assert doc == {
-        "type": "age", "attr": 10, "age": 10, "next": 11, "first": "Alice", "n": 3, "docs": [{"name": "Alice"}, {"name": "Alicia"}, {"name": "Jones"}],
-        "names": ["Alice", "Alicia", "Jones"], "friends": ["Bob"], "all": {"age": 10, "name": ["Alice", "Alicia", "Jones"]}, "deep": {"a": {"b": 10}}, "label": "person",
+        df = tx.query("""match $b isa book, has isbn $i, has pages $p; citation (source: $b);
+            fetch { "isbn": $i, "pages": $b.pages, "half": $p / 2, "titles": [ $b.title ], "all": { $b.* }, "kind": book, "sheet": { "count": { "of": $p } },
+              "cited": [ match citation (source: $b, target: $x); $x has isbn $j; sort $j; fetch { "to": $j, "long": $x.pages }; ],
+              "ids": [ match citation (source: $b, target: $x); $x has isbn $j; return { $j }; ],
+              "most": ( match citation (source: $b, target: $x); $x has pages $q; return max($q); ), "last": ( match $b has title $t; sort $t; return last $t; ) };""")
+        docs = {d["isbn"]: d for d in (json.loads(r[0]) for r in documents(df).collect())}
+    for d in docs.values():
+        d["ids"].sort()
+    assert docs == {
+        "i1": {"isbn": "i1", "pages": 210, "half": 105.0, "titles": ["Knots", "Noeuds"], "all": {"isbn": "i1", "title": ["Knots", "Noeuds"], "pages": 210}, "kind": "book", "sheet": {"count": {"of": 210}}, "cited": [{"to": "i2", "long": 95}, {"to": "i3", "long": 330}], "ids": ["i2", "i3"], "most": 330, "last": "Noeuds"},
+        "i3": {"isbn": "i3", "pages": 330, "half": 165.0, "titles": ["Sails", "Segel"], "all": {"isbn": "i3", "title": ["Sails", "Segel"], "pages": 330}, "kind": "book", "sheet": {"count": {"of": 330}}, "cited": [{"to": "i2", "long": 95}], "ids": ["i2"], "most": 95, "last": "Segel"},
     }
 
 
@@ -201,43 +207,53 @@ def test_fetch_lists_may_be_empty_and_objects_are_refused(people):
             tx.query('match $p isa person; fetch { "a": $p.age };')
 
 
-GRAPH = "define attribute name value string; attribute weight value integer; entity node, owns name @card(0..), owns weight, plays edge:start, plays edge:end_; relation edge, relates start, relates end_;"
-CHAIN = 'insert $a isa node, has name "a", has weight 12; $b isa node, has name "b", has weight 34; $c isa node, has name "c", has weight 56; edge (start: $a, end_: $b); edge (start: $b, end_: $c);'
-REACH = "with fun reachable($s: node) -> { node }: match { edge (start: $s, end_: $e); } or { let $m in reachable($s); edge (start: $m, end_: $e); }; return { $e };"
-QUADRATIC = "with fun reachable($s: node) -> { node }: match { edge (start: $s, end_: $e); } or { let $m in reachable($s); let $e in reachable($m); }; return { $e };"
+RIVERS = "define attribute basin value string; attribute flow value integer; entity river, owns basin @card(0..), owns flow, plays mouth:upper, plays mouth:lower; relation mouth, relates upper, relates lower;"
+WATER = 'insert $i isa river, has basin "Inn", has flow 700; $d isa river, has basin "Danube", has flow 6500; $s isa river, has basin "Sill", has flow 24; $r isa river, has basin "Ruetz", has flow 9; mouth (upper: $i, lower: $d); mouth (upper: $s, lower: $i); mouth (upper: $r, lower: $s);'
+FEEDERS = "with fun feeders($r: river) -> { river }: match { mouth (upper: $f, lower: $r); } or { mouth (upper: $m, lower: $r); let $f in feeders($m); }; return { $f };"
+FEEDERS_TWICE = "with fun feeders($r: river) -> { river }: match { mouth (upper: $f, lower: $r); } or { let $m in feeders($r); let $f in feeders($m); }; return { $f };"
 
 
-@pytest.mark.parametrize("fun", [REACH, QUADRATIC])
+@pytest.mark.parametrize("fun", [FEEDERS, FEEDERS_TWICE])
 def test_recursion_ends_on_cycles(database, fun):
-    db = database(GRAPH, CHAIN.replace('edge (start: $b, end_: $c);', 'edge (start: $b, end_: $c); edge (start: $c, end_: $a);'))
-    q = fun + ' match $a isa node, has name "a"; let $x in reachable($a); $x has name $n; select $n;'
-    assert ask(db, q) == [("a",), ("b",), ("c",)]
+    """With a canal from the Danube back to the Ruetz each river feeds itself too."""
+    db = database(RIVERS, WATER + " mouth (upper: $d, lower: $r);")
+    for basin in ("Inn", "Sill"):
+        assert ask(db, fun + f' match $r isa river, has basin "{basin}"; let $f in feeders($r); $f has basin $n; select $n;') == [("Danube",), ("Inn",), ("Ruetz",), ("Sill",)]
 
 
 def test_reduce_over_a_recursive_function(database):
-    db = database(GRAPH, CHAIN)
-    assert ask(db, REACH + ' match $a isa node, has name "a"; let $x in reachable($a); $x has weight $w; reduce $s = sum($w);') == [(90,)]
+    db = database(RIVERS, WATER)
+    assert ask(db, FEEDERS + ' match $r isa river, has basin "Danube"; let $f in feeders($r); $f has flow $w; reduce $s = sum($w), $n = count;') == [(733, 3)]
+
+
+def test_recursion_that_does_not_end_in_time_is_an_error(database, monkeypatch):
+    from knotwork.operators.calls import Tabling
+
+    db = database(RIVERS, WATER)
+    monkeypatch.setattr(Tabling, "MOST_ROUNDS", 2)
+    with pytest.raises(QueryError):
+        ask(db, FEEDERS + " match $r isa river; let $f in feeders($r); reduce $n = count;")
 
 
 def test_stored_function(database):
-    db = database(GRAPH, "define fun heavy($n: node) -> boolean: match $n has weight $w; $w > 20; return check;", CHAIN)
-    assert ask(db, "match $n isa node, has name $x; let $h = heavy($n); $h == true; select $x;") == [("b",), ("c",)]
+    db = database(RIVERS, "define fun broad($r: river) -> boolean: match $r has flow $w; $w > 100; return check;", WATER)
+    assert ask(db, "match $r isa river, has basin $x; let $h = broad($r); $h == true; select $x;") == [("Danube",), ("Inn",)]
 
 
 @pytest.mark.parametrize(
     "fun",
     [
-        "with fun f($s: node) -> { node }: match $e isa node; not { let $e in f($s); }; $s isa node; return { $e };",
-        "with fun f($s: node) -> integer: match let $n = f($s); return count($n);",
-        "with fun f($s: node, $t: node) -> { node }: match $s isa node; return { $s };",
-        "with fun f($s: node) -> { node, node }: match $s isa node; return { $s };",
-        "with fun f($s: node) -> { node }: match $s isa node; require $s; return { $s };",
+        "with fun f($s: river) -> { river }: match $e isa river; not { let $e in f($s); }; $s isa river; return { $e };",
+        "with fun f($s: river) -> integer: match let $n = f($s); return count($n);",
+        "with fun f($s: river, $t: river) -> { river }: match $s isa river; return { $s };",
+        "with fun f($s: river) -> { river, river }: match $s isa river; return { $s };",
+        "with fun f($s: river) -> { river }: match $s isa river; require $s; return { $s };",
     ],
 )
 def test_functions_that_are_refused(database, fun):
-    db = database(GRAPH)
+    db = database(RIVERS)
     with db.transaction() as tx, pytest.raises(QueryError):
-        tx.query(fun + " match $n isa node; let $x in f($n);")
+        tx.query(fun + " match $n isa river; let $x in f($n);")
 
 
 def test_analyse(people):
@@ -271,19 +287,59 @@ def test_types_and_roles_can_be_renamed(people):
         tx.query("redefine person label x;")
 
 
-ACCESS = """define
-entity subject @abstract, plays membership:member; entity person sub subject, owns email @key; entity crew sub subject, plays crew-membership:crew, owns email;
-attribute email value string;
-relation membership @abstract, relates member @card(0..), relates parent @card(0..);
-relation crew-membership sub membership, relates crew as parent;
-fun crews($m: subject) -> { crew }: match $g isa crew; { crew-membership (crew: $g, member: $m); } or { crew-membership (crew: $g, member: $i); let $i in crews($m); }; return { $g };
-fun in_crew($m: subject, $g: crew) -> boolean: match let $x in crews($m); $x is $g; return check;"""
-CREWS = """insert $a isa person, has email "a"; $b isa person, has email "b"; $c isa crew, has email "c"; $d isa crew, has email "d"; $e isa crew, has email "e";
-crew-membership (crew: $c, member: $a); crew-membership (crew: $d, member: $c); crew-membership (crew: $e, member: $d); crew-membership (crew: $c, member: $e); crew-membership (crew: $e, member: $b);"""
+SHIPPING = """define
+attribute tag value string; attribute tons value integer;
+entity cargo @abstract, owns tag @key, plays loading:load; entity barrel sub cargo, owns tons; entity crate sub cargo, plays crating:crate; entity ship sub cargo, plays stowage:ship;
+relation loading @abstract, relates load, relates holder @abstract;
+relation crating sub loading, relates crate as holder; relation stowage sub loading, relates ship as holder;
+fun inside($h: crate) -> { cargo }: match $x isa cargo; { crating (crate: $h, load: $x); } or { crating (crate: $h, load: $c); $c isa crate; let $x in inside($c); }; return { $x };
+fun weight($h: crate) -> integer: match let $x in inside($h); $x isa barrel, has tons $t; return sum($t);"""
+DOCK = """insert $b isa barrel, has tag "b1", has tons 3; $c isa barrel, has tag "b2", has tons 4; $k isa crate, has tag "k1"; $m isa crate, has tag "k2"; $n isa crate, has tag "k3"; $s isa ship, has tag "s";
+crating (crate: $k, load: $b); crating (crate: $k, load: $m); crating (crate: $m, load: $c); crating (crate: $m, load: $n); stowage (ship: $s, load: $k);"""
 
 
 def test_recursive_functions_over_specialised_roles(database):
-    db = database(ACCESS, CREWS)
-    assert ask(db, 'match $p isa person, has email "a"; let $g in crews($p); $g has email $n; select $n;') == [("c",), ("d",), ("e",)]
-    assert ask(db, 'match $p isa person, has email $m; $g isa crew, has email "d"; let $x = in_crew($p, $g); select $m, $x;') == [("a", True), ("b", True)]
-    assert ask(db, "match membership (parent: $g, member: $p); $p isa person, has email $m; $g has email $n; select $m, $n;") == [("a", "c"), ("b", "e")]
+    """What is in a crate, to any depth; the abstract relation sees crates and ships as holders."""
+    db = database(SHIPPING, DOCK)
+    assert ask(db, 'match $k isa crate, has tag "k1"; let $x in inside($k); $x has tag $t; select $t;') == [("b1",), ("b2",), ("k2",), ("k3",)]
+    assert ask(db, "match $k isa crate, has tag $t; let $w = weight($k); select $t, $w;") == [("k1", 7), ("k2", 4), ("k3", 0)]
+    assert ask(db, 'match loading (holder: $h, load: $x); $h has tag $t; $x has tag $u; select $t, $u;') == [("k1", "b1"), ("k1", "k2"), ("k2", "b2"), ("k2", "k3"), ("s", "k1")]
+
+
+def test_given_of_several_types_and_tables(spark):
+    from pyspark.sql import functions as F
+
+    from knotwork.session import query
+    from knotwork.sources import tables
+
+    cat, store = tables.catalog(), tables.store(spark, "/root/testdata/sf0.001")
+    both = spark.createDataFrame([(1, "customer"), (1, "supplier"), (2, "supplier")], "x long, `x#t` string")
+    assert query(spark, cat, store, "given $x: party; match $x has name $n; select $n;", both).count() == 3
+    with pytest.raises(QueryError):
+        query(spark, cat, store, "given $x: party; match $x has name $n;", spark.createDataFrame([(11, "supplier")], "x long, `x#t` string"))
+    said = query(spark, cat, store, "match $u isa utterance, has turn 0; select $u;").withColumnRenamed("u", "x")
+    assert query(spark, cat, store, "given $x: utterance; match $x has said $t; reduce $n = count;", said).first()[0] == said.count()
+    live = query(spark, cat, store, "match $r isa residence; select $r;").withColumnRenamed("r", "x").limit(7)
+    assert query(spark, cat, store, "given $x: residence; match $x links (place: $p); reduce $n = count;", live).first()[0] == 7
+    for kind in ("utterance", "residence", "line-item"):
+        ids = query(spark, cat, store, f"match $u isa {kind}; let $i = iid($u); select $i;").select("i").distinct()
+        one = ids.orderBy("i").first()[0]
+        assert query(spark, cat, store, f"match $u isa {kind}; $u iid {one}; let $i = iid($u); select $i;").collect() == [(one,)]
+    assert ids.where(F.col("i").isNull()).isEmpty()
+
+
+def test_new_ids_have_no_gaps(database, spark):
+    db = database("define attribute id value integer; entity thing_, owns id;")
+    rows = spark.range(1000).select(F_id()).repartition(7)
+    for _ in range(2):
+        with db.transaction("write") as tx:
+            tx.query("given $k: integer; insert $t isa thing_, has id == $k;", rows)
+            tx.commit()
+    m = db.manifest(db.version())
+    assert m["next_id"] == 2000
+
+
+def F_id():
+    from pyspark.sql import functions as F
+
+    return F.col("id").alias("k")
