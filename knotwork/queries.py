@@ -38,14 +38,14 @@ TEXTS: dict[str, tuple[str, str]] = {
     "has_like": ('match $p isa part, has p_brand $b, has p_partkey $k; $b like "#[1-3]"; select $k, $b;', "SELECT p_partkey AS k, p_brand AS b FROM part WHERE regexp_matches(p_brand, '#[1-3]')"),
     "has_untyped": ("match $r isa region, has $a; $a isa! $t; $t label r_name; select $a;", "SELECT r_name AS a FROM region"),
     "has_type_variable": ("match $r isa region, has $t $a; $t label r_name; select $a, $t;", "SELECT r_name AS a, 'r_name' AS t FROM region"),
-    "has_shared_value": ("match $a isa customer, has acctbal $b, has c_custkey $k; $s isa supplier, has acctbal $b; select $k, $b;", "SELECT DISTINCT c_custkey AS k, c_acctbal AS b FROM customer WHERE c_acctbal IN (SELECT s_acctbal FROM supplier)"),
+    "has_shared_value": ('match $a isa part, has p_size $z, has p_partkey 1; $b isa part, has p_size $z, has p_partkey $k; select $k, $z;', 'SELECT p_partkey AS k, p_size::BIGINT AS z FROM part WHERE p_size = (SELECT p_size FROM part WHERE p_partkey = 1)'),
     "links_binary": ("match placement (order: $o, buyer: $c); $o has o_orderkey $k; $c has name $n; select $k, $n;", "SELECT o_orderkey AS k, c_name AS n FROM orders JOIN customer ON c_custkey = o_custkey"),
     "links_reverse": ("match $c isa customer, has c_custkey $k; $r isa placement, links (buyer: $c); reduce $n = count groupby $k;", "SELECT c_custkey AS k, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1"),
     "links_ternary": ("match $l isa line-item (order: $o, item: $p, vendor: $s), has l_quantity $q; $o has o_orderpriority $pr; $p has p_brand $b; let $w = round($q); reduce $n = count, $t = sum($w) groupby $pr, $b;", "SELECT o_orderpriority AS pr, p_brand AS b, count(*) AS n, sum(CAST(round_even(l_quantity, 0) AS BIGINT))::BIGINT AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL"),
     "links_anonymous_distinct": ("match line-item (order: $o, vendor: $s); $o has o_orderkey $k; $s has s_suppkey $v; select $k, $v;", "SELECT DISTINCT l_orderkey AS k, l_suppkey AS v FROM lineitem"),
     "links_untyped_role": ("match location ($a, $b); $a isa nation, has n_name $n; $b isa region, has r_name $r; select $n, $r;", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "links_role_variable": ("match $l isa location, links ($role: $x); $x isa region; reduce $n = count groupby $role;", "SELECT 'location:outer' AS role, count(*) AS n FROM nation"),
-    "links_dedup": ("match $r isa placement, links ($x: $p, $y: $q); reduce $n = count groupby $x, $y;", "SELECT 'placement:order' AS x, 'placement:buyer' AS y, count(*) AS n FROM orders UNION ALL SELECT 'placement:buyer', 'placement:order', count(*) FROM orders"),
+    "links_dedup": ('match $r isa reply, links ($x: $p, $y: $q); reduce $n = count groupby $x, $y;', "WITH r AS (SELECT count(*) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT 'reply:prev' AS x, 'reply:next' AS y, n FROM r UNION ALL SELECT 'reply:next', 'reply:prev', n FROM r"),
     "links_polymorphic": ("match residence (resident: $p, place: $n); $n has n_name $x; reduce $c = count groupby $x;", "SELECT n_name AS x, count(*) AS c FROM nation JOIN (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) ON k = n_nationkey GROUP BY 1"),
     "links_two_hops": ("match placement (order: $a, buyer: $c); placement (order: $b, buyer: $c); $a has o_orderkey $x; $b has o_orderkey $y; $x < $y; reduce $n = count;", "SELECT count(*) AS n FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey"),
     "links_chain": ("match residence (resident: $c, place: $n); $c isa customer; location (inner: $n, outer: $r); $r has r_name $name; reduce $k = count groupby $name;", "SELECT r_name AS name, count(*) AS k FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
@@ -54,8 +54,8 @@ TEXTS: dict[str, tuple[str, str]] = {
     "iid_lookup": (f'match $x isa region, has r_name $n; let $i = iid($x); $x iid {_REGION_2}; select $n, $i;', f"SELECT r_name AS n, '{_REGION_2}' AS i FROM region WHERE r_regionkey = 2"),
     "theta_join": ("match $a isa nation, has n_nationkey $x; $b isa nation, has n_nationkey $y; $x < $y; reduce $n = count;", "SELECT count(*) AS n FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey"),
     "compare_other_kind": ('match $r isa region, has r_name $n, has r_regionkey $k; not { $k == $n; }; select $n;', "SELECT r_name AS n FROM region"),
-    "not_pattern": ("match $c isa customer, has c_custkey $k; not { placement (buyer: $c); }; select $k;", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
-    "not_correlated_cmp": ("match $c isa customer, has c_custkey $k, has acctbal $b; not { placement (order: $o, buyer: $c); $o has o_totalprice $p; $p > $b; }; select $k;", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal)"),
+    "not_pattern": ('match $d isa document, has doc_id $k; not { labelling (subject: $d); }; select $k;', 'SELECT doc_id AS k FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)'),
+    "not_correlated_cmp": ('match $c isa customer, has c_custkey $k, has acctbal $b; not { placement (order: $o, buyer: $c); $o has o_totalprice $p; $p < $b; }; select $k;', 'SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice < c_acctbal)'),
     "not_not": ("match $c isa customer, has c_custkey $k; not { $o isa order; placement (order: $o, buyer: $c); not { $o has o_orderstatus \"O\"; }; }; select $k;", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'O')"),
     "or_pattern": ("match $p isa part, has p_partkey $k; { $p has p_size > 40; } or { $p has p_retailprice < 1000.0; }; reduce $n = count;", "SELECT (SELECT count(*) FROM part WHERE p_size > 40) + (SELECT count(*) FROM part WHERE p_retailprice < 1000.0) AS n"),
     "or_types": ("match { $x isa customer, has c_custkey $k; } or { $x isa supplier, has s_suppkey $k; }; select $k;", "SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier"),
@@ -120,7 +120,7 @@ TEXTS: dict[str, tuple[str, str]] = {
     "meta_fun": ("with fun one() -> integer @doc(\"always one\") @meta(\"a\", \"b\"): match let $x = 1; return first $x; match let $d = get_fun_doc(\"one\"); let $k, $v in get_fun_all_meta(\"one\"); let $o = one(); select $d, $k, $v, $o;", "SELECT 'always one' AS d, 'a' AS k, 'b' AS v, 1::BIGINT AS o"),
     "meta_all": ("match $t label nation; let $k, $v in get_all_meta($t); select $k, $v;", "SELECT 'level' AS k, '2' AS v"),
     "match_match": ("match $c isa customer, has c_custkey $k; match placement (order: $o, buyer: $c); $o has o_totalprice $p; select $k, $p;", "SELECT o_custkey AS k, o_totalprice AS p FROM orders"),
-    "reduce_match": ("match placement (buyer: $c); reduce $n = count groupby $c; match $c has name $x; $n > 10; select $x, $n;", "SELECT c_name AS x, n FROM (SELECT o_custkey, 1::BIGINT AS n FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey WHERE n > 10"),
+    "reduce_match": ('match placement (buyer: $c); reduce $n = count groupby $c; match $c has name $x; $n == 1; select $x, $n;', 'SELECT c_name AS x, 1::BIGINT AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)'),
     "reduce_match_named": ("match $r isa placement, links (buyer: $c); reduce $n = count groupby $c; match $c has name $x; $n > 10; select $x, $n;", "SELECT c_name AS x, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) JOIN customer ON c_custkey = o_custkey WHERE n > 10"),
     "unsatisfiable_branch": ("match $x isa party, has name $n; { $x isa customer; } or { $x isa region; }; reduce $k = count;", "SELECT count(*) AS k FROM customer"),
 }
@@ -144,6 +144,54 @@ def given_things(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(spark, tables.catalog(), tables.store(spark, sf_dir), "given $x: nation; match residence (resident: $p, place: $x); $x has n_name $n; reduce $k = count groupby $n;", rows)
 
 
+def given_party(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of two types, each row with its type."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("x"), F.explode(F.array(F.lit("supplier"), F.lit("customer"))).alias("x#t"))
+    return query(spark, tables.catalog(), tables.store(spark, sf_dir), "given $x: party; match $x isa! $t; $x has name $n; select $t, $n;", rows)
+
+
+def given_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances with a key of two columns, as another query gives them."""
+    catalog, store = tables.catalog(), tables.store(spark, sf_dir)
+    rows = query(spark, catalog, store, "match $u isa utterance, has turn 1; select $u;").withColumnRenamed("u", "x")
+    return query(spark, catalog, store, "given $x: utterance; match reply (prev: $y, next: $x); $y has said $s; $x has conv_id $c; select $c, $s;", rows)
+
+
+def _then(text: str, *columns: str):
+    """Columns of a query's result as SQL expressions: lists and decimals as what any comparison takes."""
+
+    def run_then(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, tables.catalog(), tables.store(spark, sf_dir), text).selectExpr(*columns)
+
+    return run_then
+
+
+#: name: (query, SQL) of results that are put into another form first.
+SHAPED = {
+    "fetch_list": (
+        _then('match $n isa nation, has n_name $x; fetch { "nation": $x, "names": [ $n.n_name ], "keys": [ match residence (resident: $p, place: $n); $p isa supplier, has s_suppkey $k; return { $k }; ] };', "nation", "array_join(names, '|') AS names", "array_join(sort_array(keys), '|') AS keys"),
+        "SELECT n_name AS nation, n_name AS names, coalesce((SELECT string_agg(s_suppkey::VARCHAR, '|' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), '') AS keys FROM nation",
+    ),
+    "fetch_documents": (
+        _then('match $r isa region, has r_name $x; fetch { "region": $x, "nations": [ match location (inner: $n, outer: $r); $n has n_name $y; sort $y; fetch { "name": $y, "key": $n.n_nationkey }; ] };', "region", "array_join(transform(array_sort(transform(nations, d -> struct(d.name, d.key))), d -> concat(d.name, '=', d.key)), '|') AS nations"),
+        "SELECT r_name AS region, (SELECT string_agg(n_name || '=' || n_nationkey, '|' ORDER BY n_name) FROM nation WHERE n_regionkey = r_regionkey) AS nations FROM region",
+    ),
+    "fetch_nested": (_then('match $c isa customer, has c_custkey $k; fetch { "a": { "b": { "key": $k, "name": $c.name } }, "all": { $c.* } };', "a.b.key AS k", "a.b.name AS n", "all.c_mktsegment AS s"), "SELECT c_custkey AS k, c_name AS n, c_mktsegment AS s FROM customer"),
+    "let_decimal": (_then("match $p isa part, has p_partkey $k, has p_size $s; let $x = $s * 1.25dec; let $y = $x + 0.05dec; let $z = $y - 3; select $k, $y, $z;", "k", "CAST(y * 100 AS BIGINT) AS y", "CAST(z * 100 AS BIGINT) AS z"), "SELECT p_partkey AS k, p_size::BIGINT * 125 + 5 AS y, p_size::BIGINT * 125 + 5 - 300 AS z FROM part"),
+    "let_decimal_division": (_then("match $p isa part, has p_partkey $k, has p_size $s; let $x = ($s + 0.5dec) / 4; select $k, $x;", "k", "x"), "SELECT p_partkey AS k, (p_size + 0.5) / 4.0 AS x FROM part"),
+    "reduce_decimal": (_then("match $p isa part, has p_brand $b, has p_size $s; let $x = $s * 0.5dec; reduce $t = sum($x), $m = max($x), $d = median($x) groupby $b;", "b", "CAST(t * 2 AS BIGINT) AS t", "CAST(m * 2 AS BIGINT) AS m", "CAST(d * 4 AS BIGINT) AS d"), "SELECT p_brand AS b, sum(p_size)::BIGINT AS t, max(p_size)::BIGINT AS m, CAST(median(p_size) * 2 AS BIGINT) AS d FROM part GROUP BY 1"),
+    "let_between": (_then("match $o isa order, has o_orderkey $k, has o_orderdate $d; let $e = $d + P40D; let $x = $e - $d; select $k, $x;", "k", "x.months * 31L + x.days >= 39 AS ok"), "SELECT o_orderkey AS k, true AS ok FROM orders"),
+    "let_duration_sum": (_then("match $o isa order, has o_orderkey $k, has o_orderdate $d; let $s = P1M + P2DT3H; let $e = $d + $s; let $f = $e - PT3H; select $k, $f;", "k", "f"), "SELECT o_orderkey AS k, o_orderdate + INTERVAL 1 MONTH + INTERVAL 2 DAY AS f FROM orders"),
+    "let_list_slice": (_then("match $p isa part, has p_partkey $k, has p_size $s; let $l = [$s, $k, 7]; let $m = $l[1..3]; let $x = $m[0]; select $k, $x;", "k", "x"), "SELECT p_partkey AS k, p_partkey AS x FROM part"),
+    "fun_tuple": (_then("with fun spread($n: nation) -> integer, double: match residence (resident: $p, place: $n); $p has acctbal $b; return count($p), max($b); match $n isa nation, has n_name $x; let $k, $m = spread($n); select $x, $k, $m;", "x", "k", "m"), "SELECT n_name AS x, count(*) AS k, max(b) AS m FROM nation JOIN (SELECT c_nationkey AS z, c_acctbal AS b FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier) ON z = n_nationkey GROUP BY 1"),
+    "iid_composite": (_then("match $u isa utterance, has conv_id $c, has turn $t; let $i = iid($u); select $c, $t, $i;", "c", "t", "substr(i, 7) AS h"), "SELECT conv_id AS c, turn AS t, md5('{' || conv_id || ', ' || turn || '}') AS h FROM conversations"),
+    "meta_edges": (_then('match $t label supplier; $a label s_suppkey; $r label line-item:vendor; $u label party; let $x = get_owns_meta("unit", $t, $a); let $y = get_plays_meta("since", $t, $r); let $z = get_sub_meta("does", $t, $u); select $x, $y, $z;', "x", "y", "z"), "SELECT 'number' AS x, '1992' AS y, 'sells' AS z"),
+    "meta_edges_all": (_then("match $t label supplier; $a label s_suppkey; $r label line-item:vendor; $u label party; let $k, $v in get_owns_all_meta($t, $a); let $l, $w in get_plays_all_meta($t, $r); let $m, $x in get_sub_all_meta($t, $u); select $k, $v, $l, $w, $m, $x;", "k", "v", "l", "w", "m", "x"), "SELECT 'unit' AS k, 'number' AS v, 'since' AS l, '1992' AS w, 'does' AS m, 'sells' AS x"),
+    "meta_relates_all": (_then("match $t label placement; $r label placement:buyer; let $k, $v in get_relates_all_meta($t, $r); select $k, $v;", "k", "v"), "SELECT 'k' AS k, 'v' AS v"),
+    "meta_fun_key": (_then('with fun one() -> integer @meta("a", "b"): match let $x = 1; return first $x; match let $m = get_fun_meta("a", "one"); let $o = one(); select $m, $o;', "m", "o"), "SELECT 'b' AS m, 1::BIGINT AS o"),
+}
+
+
 SALES = """define
 attribute id value integer; attribute number value integer; attribute title value string; attribute state value string;
 entity person, owns id @key, owns title, plays purchase:buyer; entity sale, owns number @key, owns state, plays purchase:thing;
@@ -173,16 +221,24 @@ def _written(ask: str, *writes: str):
 WRITES = {
     "write_insert": (_written("match $p isa person, has id $k, has title $n; select $k, $n;"), "SELECT c_custkey AS k, c_name AS n FROM customer"),
     "write_links": (_written("match $r isa purchase, links (buyer: $p, thing: $s); $p has id $k; reduce $n = count groupby $k;"), "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1"),
-    "write_put": (_written("match $p isa person; reduce $n = count;", "given $k: integer, $n: string; put $p isa person, has id == $k, has title == $n;"), "SELECT count(*) AS n FROM customer"),
+    "write_put": (
+        _written("match $p isa person, has id $k, has title $n; select $k, $n;", "match $p isa person, has id $k; let $m = $k % 2; $m == 0; delete $p;", "given $k: integer, $n: string; put $p isa person, has id == $k, has title == $n;"),
+        "SELECT c_custkey AS k, c_name AS n FROM customer",
+    ),
+    "write_delete_links": (_written("match $r isa purchase; not { $r links (buyer: $p); }; reduce $n = count;", "match $r isa purchase, links (buyer: $p); $p has id $k; $k < 50; delete links ($p) of $r;"), "SELECT count(*) AS n FROM orders WHERE o_custkey < 50"),
+    "write_update_links": (_written("match $r isa purchase, links (buyer: $p); $p has id $k; reduce $n = count groupby $k;", "match $p isa person, has id 1; $r isa purchase, links (buyer: $q, thing: $s); $s has number $o; let $m = $o % 4; $m == 0; update $r links (buyer: $p);"), "SELECT CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE o_custkey END AS k, count(*) AS n FROM orders GROUP BY 1"),
+    "write_delete_try": (_written("match $s isa sale; try { $s has state $t; }; reduce $n = count, $m = count($t);", "match $s isa sale, has number $o; try { $s has state $t; $o < 90; }; delete try { has $t of $s; };"), "SELECT count(*) AS n, count(*) FILTER (o_orderkey >= 90) AS m FROM orders"),
     "write_update": (_written("match $s isa sale, has state $t; reduce $n = count groupby $t;", 'match $s isa sale, has number $o; let $m = $o % 3; $m == 0; update $s has state "done";'), "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE 'new' END AS t, count(*) AS n FROM orders GROUP BY 1"),
     "write_delete": (_written("match $r isa purchase; try { $r links (buyer: $p); $p has id $k; }; reduce $n = count, $m = count($k);", "match $p isa person, has id $k; let $m = $k % 2; $m == 0; delete $p;"), "SELECT count(*) AS n, count(*) FILTER (o_custkey % 2 = 1) AS m FROM orders"),
     "write_delete_orphans": (_written("match $r isa purchase; reduce $n = count;", "match $p isa person, has id $k; let $m = $k % 2; $m == 0; delete $p;", "match $s isa sale, has number $o; let $m = $o % 2; $m == 0; delete $s;"), "SELECT count(*) AS n FROM orders WHERE o_custkey % 2 = 1 OR o_orderkey % 2 = 1"),
     "write_delete_has": (_written("match $s isa sale, has number $o; not { $s has state $t; }; reduce $n = count;", 'match $s isa sale, has state $t, has number $o; $o < 100; delete has $t of $s;'), "SELECT count(*) AS n FROM orders WHERE o_orderkey < 100"),
 }
 
-QUERIES = {name: _text(text) for name, (text, _) in TEXTS.items()} | {"given_rows": given_rows, "given_things": given_things} | {name: f for name, (f, _) in WRITES.items()}
+QUERIES = {name: _text(text) for name, (text, _) in TEXTS.items()} | {name: f for name, (f, _) in SHAPED.items()} | {"given_rows": given_rows, "given_things": given_things, "given_party": given_party, "given_turns": given_turns} | {name: f for name, (f, _) in WRITES.items()}
 
-SQL = {name: sql for name, (_, sql) in TEXTS.items() if sql} | {
+SQL = {name: sql for name, (_, sql) in [*TEXTS.items(), *SHAPED.items()] if sql} | {
+    "given_party": "SELECT 'supplier' AS t, s_name AS n FROM supplier UNION ALL SELECT 'customer', c_name FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)",
+    "given_turns": "SELECT b.conv_id AS c, a.text AS s FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE b.turn = 1",
     "given_rows": "SELECT c_mktsegment AS s, c_name AS n FROM customer WHERE (c_mktsegment, c_custkey) IN (SELECT c_mktsegment, max(c_custkey) FROM customer GROUP BY 1)",
     "given_things": TEXTS["links_polymorphic"][1].replace("AS x", "AS n").replace("AS c FROM nation", "AS k FROM nation").replace("AS k FROM customer", "AS z FROM customer").replace("ON k =", "ON z ="),
 } | {name: sql for name, (_, sql) in WRITES.items()}

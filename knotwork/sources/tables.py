@@ -28,7 +28,7 @@ entity region, owns r_regionkey @key, owns r_name, plays location:outer @doc("re
 entity nation @doc("a country") @meta("level", "2"), owns n_nationkey @key, owns n_name, plays location:inner, plays residence:place;
 entity party @abstract, owns name, owns acctbal, plays residence:resident;
 entity customer sub party @doc("a party that buys"), owns c_custkey @key, owns c_mktsegment @doc("market segment"), plays placement:buyer;
-entity supplier sub party, owns s_suppkey @key, plays line-item:vendor;
+entity supplier sub party @meta("does", "sells"), owns s_suppkey @key @meta("unit", "number"), plays line-item:vendor @meta("since", "1992");
 entity part, owns p_partkey @key, owns p_name, owns p_brand, owns p_type, owns p_size, owns p_retailprice, plays line-item:item;
 entity order, owns o_orderkey @key, owns o_orderstatus, owns o_totalprice, owns o_orderdate, owns o_orderpriority, plays line-item:order, plays placement:order;
 entity event, owns event_id @key, owns ts, owns user_id, owns event_type, owns event_value, owns props;
