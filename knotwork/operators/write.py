@@ -27,11 +27,15 @@ _AND = lambda a, b: a & b
 class _Edges:
     """What a stage adds to each table, as columns of its rows."""
 
-    def __init__(self):
+    def __init__(self, fresh=()):
         self.rows: dict[str, list] = {}
+        self.fresh = set(fresh)  # variables of new instances: edges at them cannot be there yet
+        self.known: set[str] = set()  # tables that get edges at others too
 
-    def add(self, table: str, row, where) -> None:
+    def add(self, table: str, row, where, at: str | None = None) -> None:
         self.rows.setdefault(table, []).append((row, where))
+        if at not in self.fresh:
+            self.known.add(table)
 
 
 class Writer:
@@ -39,15 +43,34 @@ class Writer:
         self.c, self.store, self.catalog = compiler, store, compiler.catalog
         self.next_id = next_id
         self.changed: set[str] = set()
+        self.added: dict[str, list[DataFrame]] = {}  # of changed tables that have only got rows: these
 
     def _put(self, table: str, df: DataFrame) -> None:
+        """Another version of a whole table."""
         self.store.tables[table] = cut(df)
         self.changed.add(table)
+        self.added.pop(table, None)
 
-    def _add(self, table: str, df: DataFrame, distinct: bool = True) -> None:
+    def _add(self, table: str, df: DataFrame, distinct: bool = True, known: bool = True) -> None:
+        """More rows of a table, which is not written anew. known: some of them may be there."""
         old = self.store.frame(table)
-        out = old.unionByName(df.select(*(F.col(f.name).cast(f.dataType) for f in old.schema.fields)))
-        self._put(table, out.distinct() if distinct else out)
+        new = df.select(*(F.col(f.name).cast(f.dataType) for f in old.schema.fields))
+        new = new.distinct() if distinct else new
+        if distinct and known:
+            new = new.alias("n").join(old.alias("o"), fold(_AND, [F.col(f"n.`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in old.columns]), "left_anti")
+        new = cut(new)
+        self.store.tables[table] = old.unionByName(new)
+        if table not in self.changed:
+            self.added[table] = []
+        if table in self.added:
+            self.added[table].append(new)
+        self.changed.add(table)
+
+    def delta(self, table: str) -> DataFrame | None:
+        """The rows that a table has got, if nothing else has happened to it; an empty one if nothing has."""
+        if table not in self.changed:
+            return self.store.frame(table).limit(0)
+        return fold(lambda a, b: a.unionByName(b), self.added[table]) if table in self.added else None
 
     def _rows(self, plan: Plan | None) -> Plan:
         """The input rows, each with a number, in a table."""
@@ -98,7 +121,8 @@ class Writer:
                 known = vars.get(x.attr.name)
                 if known is None or known.kind == "value":
                     attr_types.setdefault(x.attr.name, resolve(self.catalog, x.type))
-        new, edges, checks = {}, _Edges(), []
+        new, checks = {}, []
+        edges = _Edges(x.thing.name for x in items if isinstance(x, A.Isa) and x.thing.name not in rows.vars and x.thing.name not in attr_types)
         for v, label in attr_types.items():
             t = self.catalog.type(label)
             if t.kind != "attribute":
@@ -153,7 +177,7 @@ class Writer:
         self._pass(df, checks)
         for table, options in edges.rows.items():
             e = F.explode(F.filter(F.array(*(F.when(ok, row) for row, ok in options)), lambda r: r.isNotNull()))
-            self._add(table, df.select(e.alias("e")).select("e.*"), distinct=not table.startswith("thing/"))
+            self._add(table, df.select(e.alias("e")).select("e.*"), distinct=not table.startswith("thing/"), known=table in edges.known)
         return plan
 
     def _value_checks(self, v: str, label: str, notes) -> list:
@@ -207,7 +231,7 @@ class Writer:
         owner, value = F.col(f"`{x.owner.name}`"), F.col(f"`{x.attr.name}`")
         for label in sorted(a.types):
             row = F.struct(plan.label(x.owner.name).alias("owner_type"), owner.alias("owner"), value.cast(V.spark_type(self.catalog.value_type(label))).alias("value"))
-            edges.add(f"has/{label}", row, owner.isNotNull() & value.isNotNull() & (plan.label(x.attr.name) == label))
+            edges.add(f"has/{label}", row, owner.isNotNull() & value.isNotNull() & (plan.label(x.attr.name) == label), x.owner.name)
         return checks
 
     def _role(self, rel: str, role) -> str:
@@ -237,7 +261,7 @@ class Writer:
                         raise WriteError(f"{t} does not play {name}")
                 rel, player = F.col(f"`{x.rel.name}`"), F.col(f"`{p.name}`")
                 row = F.struct(rel.alias("rel"), F.lit(name).alias("role"), plan.label(p.name).alias("player_type"), player.alias("player"))
-                edges.add(f"links/{label}", row, rel.isNotNull() & player.isNotNull() & (plan.label(x.rel.name) == label))
+                edges.add(f"links/{label}", row, rel.isNotNull() & player.isNotNull() & (plan.label(x.rel.name) == label), x.rel.name)
 
     # -------------------------------------------------------------- put, update, delete
 
@@ -393,34 +417,44 @@ class Writer:
                     again = True
 
     def validate(self) -> None:
-        """Cardinalities and uniqueness of what has changed."""
+        """Cardinalities and uniqueness of what has changed: of the owners of new rows where tables have only got rows, of all where more has happened."""
         cat = self.catalog
         touched = {t.split("/", 1)[1] for t in self.changed}
+        union = lambda frames: fold(lambda x, y: x.unionByName(y), frames) if frames else None
         for t in cat.of_kind(*OBJECTS):
             if cat.types[t].abstract:
                 continue
             for a, e in cat.owns(t).items():
                 labels = cat.concrete(a)
                 if touched & {t, *labels}:
-                    edges = fold(lambda x, y: x.unionByName(y), [self.store.has(t, z) .select("owner") for z in labels]) if labels else None
-                    self._card(t, edges, cat.card(e, "owns"), f"{t} owns {a}")
+                    new = [self.delta(f"has/{z}") for z in labels]
+                    grown = None if None in new else union([d.where(F.col("owner_type") == t).select("owner") for d in new])
+                    self._card(t, union([self.store.has(t, z).select("owner") for z in labels]), cat.card(e, "owns"), f"{t} owns {a}", grown)
                     if e.notes.flags & {"key", "unique"}:
                         self._unique(cat.owns_declared(t, a), a)
             for role, e in cat.plays(t).items():
                 rels = [r for r in cat.of_kind("relation") if role in cat.relates(r)]
                 if touched & {t, *rels}:
-                    edges = [self.store.frame(f"links/{r}").where((F.col("role") == role) & (F.col("player_type") == t)).select(F.col("player").alias("owner")) for r in rels]
-                    self._card(t, fold(lambda x, y: x.unionByName(y), edges) if edges else None, cat.card(e, "plays"), f"{t} plays {role}")
+                    mine = lambda d: d.where((F.col("role") == role) & (F.col("player_type") == t)).select(F.col("player").alias("owner"))  # noqa: B023, E731
+                    new = [self.delta(f"links/{r}") for r in rels]
+                    self._card(t, union([mine(self.store.frame(f"links/{r}")) for r in rels]), cat.card(e, "plays"), f"{t} plays {role}", None if None in new else union([mine(d) for d in new]))
             if cat.types[t].kind == "relation" and t in touched:
                 for role, e in cat.relates(t).items():
-                    self._card(t, self.store.frame(f"links/{t}").where(F.col("role") == role).select(F.col("rel").alias("owner")), cat.card(e, "relates"), f"{t} relates {role}")
+                    mine = lambda d: d.where(F.col("role") == role).select(F.col("rel").alias("owner"))  # noqa: B023, E731
+                    new = self.delta(f"links/{t}")
+                    self._card(t, mine(self.store.frame(f"links/{t}")), cat.card(e, "relates"), f"{t} relates {role}", None if new is None else mine(new))
 
-    def _card(self, t: str, edges: DataFrame | None, card: tuple[int, int | None], what: str) -> None:
+    def _card(self, t: str, edges: DataFrame | None, card: tuple[int, int | None], what: str, grown: DataFrame | None) -> None:
+        """grown: the owners of edges that have come, where none has gone."""
         low, high = card
         if edges is not None and high is not None:
-            self._some(edges.groupBy("owner").count(), F.col("count") > high, f"{what} more than {high} times")
+            some = edges if grown is None else edges.join(grown.distinct(), "owner", "left_semi")
+            self._some(some.groupBy("owner").count(), F.col("count") > high, f"{what} more than {high} times")
         if low > 0:
-            things = self.store.frame(f"thing/{t}").select(F.col("iid").alias("owner"))
+            new = self.delta(f"thing/{t}")
+            things = (self.store.frame(f"thing/{t}") if grown is None or new is None else new).select(F.col("iid").alias("owner"))
+            if edges is not None and grown is not None and new is not None:
+                edges = edges.join(things, "owner", "left_semi")
             counts = edges.groupBy("owner").count() if edges is not None else None
             have = things.join(counts, "owner", "left") if counts is not None else things.withColumn("count", F.lit(None).cast("bigint"))
             self._some(have, F.coalesce("count", F.lit(0)) < low, f"{what} fewer than {low} times")
@@ -429,8 +463,11 @@ class Writer:
         cat = self.catalog
         owners = cat.subs(scope)
         for label in cat.concrete(attr):
-            df = self.store.frame(f"has/{label}").where(F.col("owner_type").isin(owners)).distinct()
-            self._some(df.groupBy("value").count(), F.col("count") > 1, f"{attr} of {scope} is not unique")
+            mine = lambda d: d.where(F.col("owner_type").isin(owners))
+            df, new = mine(self.store.frame(f"has/{label}")), self.delta(f"has/{label}")
+            if new is not None:
+                df = df.join(mine(new).select("value").distinct(), "value", "left_semi")
+            self._some(df.distinct().groupBy("value").count(), F.col("count") > 1, f"{attr} of {scope} is not unique")
 
 
 STAGES = {"insert": Writer.insert, "put": Writer.put, "update": Writer.update}

@@ -217,8 +217,12 @@ class Server:
         self.files.delete(f"{self.folder}/{name}")
 
 
+#: Parts of a table, one of each commit that has only added rows, from which the next commit writes it whole.
+MOST_PARTS = 32
+
+
 class Database:
-    """Versions of a schema and of edge tables. A version is a manifest that names tables; a table is written once and never changed, so readers keep theirs."""
+    """Versions of a schema and of edge tables. A version is a manifest that names the parts of each table; a part is written once and never changed, so readers keep theirs."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder, self.files = spark, folder, _Files(spark)
@@ -273,8 +277,8 @@ class Transaction:
         self.base = db.version()
         m = db.manifest(self.base)
         self.catalog = Catalog.of(m["schema"])
-        self.paths = m["tables"]
-        self.store = EdgeStore(self.spark, self.catalog, {n: self.spark.read.parquet(f"{db.folder}/tables/{p}") for n, p in self.paths.items()})
+        self.paths: dict[str, list[str]] = m["tables"]
+        self.store = EdgeStore(self.spark, self.catalog, {n: self.spark.read.parquet(*(f"{db.folder}/tables/{x}" for x in p)) for n, p in self.paths.items()})
         self.writer = Writer(Compiler(self.spark, self.catalog, self.store), self.store, m["next_id"])
         self.open = True
         self.schema_changed = False
@@ -316,11 +320,11 @@ class Transaction:
         if not writes:
             return run(compiler, p, given)[0]
         self.writer.c = compiler
-        before = dict(self.store.tables)
+        before, changed, added = dict(self.store.tables), set(self.writer.changed), {n: list(d) for n, d in self.writer.added.items()}
         try:
             return run(compiler, p, given, self.writer)[0]
         except Exception:
-            self.store.tables = before
+            self.store.tables, self.writer.changed, self.writer.added = before, changed, added
             raise
 
     def _rename(self, r: A.Rename) -> None:
@@ -388,16 +392,36 @@ class Transaction:
         self.writer.clean()
         self.writer.validate()
         if self.schema_changed or self.writer.changed:
-            paths = {n: p for n, p in self.paths.items() if n.split("/", 1)[1] in self.catalog.types}
+            written: dict[str, list[str]] = {}
             for name in sorted(self.writer.changed):
                 if name.split("/", 1)[1] not in self.catalog.types:
                     continue
                 path = f"{name.replace('/', '-')}-{uuid.uuid4().hex}"
-                self.store.tables[name].write.parquet(f"{self.db.folder}/tables/{path}")
-                paths[name] = path
-            self.db.publish(self.base + 1, {"schema": self.catalog.text(), "tables": paths, "next_id": self.writer.next_id})
+                new, old = self.writer.delta(name), self.paths.get(name, [])
+                whole = new is None or len(old) >= MOST_PARTS
+                (self.store.tables[name] if whole else new).write.parquet(f"{self.db.folder}/tables/{path}")
+                written[name] = [path] if whole else [*old, path]
+            self._publish(written)
         self.open = False
 
+    def _publish(self, written: dict[str, list[str]]) -> None:
+        """The next version: this transaction's tables over those of the newest version. It fails if a transaction that was committed since the snapshot has changed the schema or one of these tables."""
+        first, paths, top = self.db.manifest(self.base), self.paths, self.writer.next_id
+        while True:
+            latest = self.db.version()
+            if latest != self.base:
+                now = self.db.manifest(latest)
+                theirs = {n for n in {*now["tables"], *first["tables"]} if now["tables"].get(n) != first["tables"].get(n)}
+                if self.schema_changed or now["schema"] != first["schema"] or theirs & self.writer.changed:
+                    raise ConflictError("another transaction has changed the same tables")
+                paths, top = now["tables"], max(now["next_id"], self.writer.next_id)
+            tables = {n: p for n, p in {**paths, **written}.items() if n.split("/", 1)[1] in self.catalog.types}
+            try:
+                return self.db.publish(latest + 1, {"schema": self.catalog.text(), "tables": tables, "next_id": top})
+            except ConflictError:
+                if self.db.version() == latest:
+                    raise
+
     def rollback(self) -> None:
         """Back to the snapshot."""
         self._alive()

@@ -343,3 +343,71 @@ def F_id():
     from pyspark.sql import functions as F
 
     return F.col("id").alias("k")
+
+
+TWO = "define attribute id value integer; entity boat, owns id @key; entity crane, owns id @card(0..3); relation lift, relates by @card(0..), relates what @card(0..); boat plays lift:what; crane plays lift:by;"
+
+
+def test_inserts_add_parts_and_read_no_old_ones(database):
+    """A commit that only adds writes its own rows; after deleted parts of other tables an insert still works."""
+    db = database(TWO, "insert $b isa boat, has id 1; $c isa crane, has id 1;")
+    first = db.manifest(db.version())["tables"]
+    write(db, "insert $b isa boat, has id 2;")
+    second = db.manifest(db.version())["tables"]
+    assert second["thing/boat"][:-1] == first["thing/boat"] and second["has/id"][:-1] == first["has/id"] and second["thing/crane"] == first["thing/crane"]
+    with db.transaction("write") as tx:
+        tx.query("insert $b isa boat, has id 3;")
+        plan = tx.writer.delta("has/id")
+        assert plan.count() == 1
+    for k in (1, 2):
+        with db.transaction("write") as tx, pytest.raises(WriteError):
+            tx.query(f"insert $b isa boat, has id {k};")
+            tx.commit()
+    assert ask(db, "match $b isa boat, has id $k; select $k;") == [(1,), (2,)]
+
+
+def test_more_than_the_most_parts_are_written_whole(database, monkeypatch):
+    from knotwork import session
+
+    monkeypatch.setattr(session, "MOST_PARTS", 2)
+    db = database(TWO)
+    for k in range(4):
+        write(db, f"insert $b isa boat, has id {k};")
+    assert len(db.manifest(db.version())["tables"]["thing/boat"]) <= 2 and len(ask(db, "match $b isa boat, has id $k; select $k;")) == 4
+
+
+def test_transactions_on_other_tables_do_not_conflict(database):
+    db = database(TWO, "insert $b isa boat, has id 1; $c isa crane;")
+    one, two, three = (db.transaction("write") for _ in range(3))
+    one.query("insert $c isa crane;")
+    two.query("match $b isa boat; $c isa crane; insert lift (by: $c, what: $b);")
+    three.query("insert $c isa crane;")
+    one.commit()
+    two.commit()
+    with pytest.raises(ConflictError):
+        three.commit()
+    assert ask(db, "match $c isa crane; reduce $n = count;") == [(2,)] and ask(db, "match $r isa lift; reduce $n = count;") == [(1,)]
+
+
+def test_limits_hold_over_commits(database):
+    """Checks of new rows see the old ones of the same owners."""
+    db = database(TWO, "insert $c isa crane, has id 1, has id 2;")
+    write(db, "match $c isa crane; insert $c has id 3;")
+    write(db, "match $c isa crane; insert $c has id 3;")
+    with db.transaction("write") as tx, pytest.raises(WriteError):
+        tx.query("match $c isa crane; insert $c has id 4;")
+        tx.commit()
+    with db.transaction("write") as tx, pytest.raises(WriteError):
+        tx.query("insert $b isa boat;")
+        tx.commit()
+    assert len(ask(db, "match $c isa crane, has id $k; select $k;")) == 3
+
+
+def test_a_failed_query_leaves_no_rows(database):
+    db = database('define attribute code value string @regex("[a-z]+"); entity part, owns code;')
+    with db.transaction("write") as tx:
+        tx.query('insert $p isa part, has code "ok";')
+        with pytest.raises(WriteError):
+            tx.query('insert $p isa part, has code "fine"; insert $q isa part, has code "7";')
+        tx.commit()
+    assert ask(db, "match $p isa part, has code $c; select $c;") == [("ok",)]
