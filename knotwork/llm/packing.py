@@ -25,7 +25,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from knotwork.llm import common as C
 
 #: White-space separated parts, and words in them, that a worker keeps the ids of. One that is not kept is encoded anew.
-CACHE_PARTS, CACHE_WORDS = 150_000, 120_000
+CACHE_PARTS, CACHE_WORDS = 250_000, 180_000
 #: Texts without these characters are composed already, lower-cased alike by Python and the
 #: tokenizer, and cut by _WORDS as by the tokenizer's own pattern: Latin letters up to U+024F but
 #: dotted I, no fractions and superscripts, no separators U+001C to U+001F.
