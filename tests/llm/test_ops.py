@@ -481,6 +481,50 @@ def test_hot_keys_are_dealt_by_what_stands_around(spark, monkeypatch):
     assert len(seen[0]) and {x[0] for x in got} == set(range(3, 300, 2)) == {x[0] for x in want} and {x[3] for x in got} == {1}
 
 
+def test_neighbours_in_ranges_are_those_of_the_whole_order():
+    import pyarrow as pa
+
+    r = np.random.default_rng(77)
+    names = ["key", "u", "pu"]
+    for trial in range(60):
+        n = int(r.integers(1, 60))
+        rows = sorted(zip(r.integers(0, 3, n).tolist(), r.integers(0, 1 + trial % 12, n).tolist(), (r.integers(0, 9, n) << 32).tolist()))
+        cuts = [0, *sorted(r.integers(0, n + 1, int(r.integers(0, 6))).tolist()), n]
+
+        def batch(part):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], pa.int64()) for i in range(3)], names)
+
+        out = [x for a, b in zip(cuts, cuts[1:]) for y in substring._neighbours(46, False)(batch(rows[k : k + 4]) for k in range(a, b, 4)) for x in y.to_pylist()]
+        ends = sorted((x["key"], x["u"], x["pu"]) for x in out if x["key"] is not None)
+        out += [x for y in substring._neighbours(46, False)([batch(ends)]) for x in y.to_pylist()]
+        got = {(x["u"], x["pu"], x["v"], x["pv"]) for x in out if x["key"] is None}
+        assert all(u > v for u, _, v, _ in got)
+        for i, (k, u, p) in enumerate(rows):
+            before = [x for x in rows[:i] if x[0] == k and x[1] != u]
+            assert not before or (u, p, *before[-1][1:]) in got
+
+
+def test_hot_keys_find_passages_after_a_common_line(spark, monkeypatch):
+    """A line in 240 documents, then a passage that two of them share, with a word changed: the line's keys are hot or not."""
+    line, texts = prose(24, 1951), []
+    for k in range(240):
+        w = prose(60, 3000 + k // 2).split()
+        if k % 2:
+            w[int(5 + k % 50)] = f"new{k}"
+        texts.append(prose(30 + k % 9, 5000 + k) + " " + line + " " + " ".join(w) + " " + prose(20, 7000 + k))
+    order = np.random.default_rng(3).permutation(240)
+    df = spark.createDataFrame([(int(i), texts[k]) for i, k in enumerate(order)], "doc_id long, text string").repartition(4)
+    found = lambda: {(x["doc_id"], x["match_id"]) for x in substring.links(df).where("end_word - start_word > 60").select("doc_id", "match_id").collect()}
+    place = {int(k): i for i, k in enumerate(order)}
+    want = {tuple(sorted((place[k], place[k + 1]), reverse=True)) for k in range(0, 240, 2)}
+    cold = found()
+    monkeypatch.setattr(substring, "LOOK", 2)
+    monkeypatch.setattr(substring, "HOT_LEAST", 60)
+    hot = found()
+    print(len(want), len(want & cold), len(want & hot))
+    assert len(want & hot) >= len(want & cold) and want <= hot
+
+
 def test_repeats_of_all_kinds_of_rows(spark):
     """Equal texts, a repeated row, a repeat inside one text, no id."""
     one, two = prose(60, 1), prose(55, 2)
