@@ -525,6 +525,64 @@ def test_hot_keys_find_passages_after_a_common_line(spark, monkeypatch):
     assert len(want & hot) >= len(want & cold) and want <= hot
 
 
+def test_windows_of_a_large_key_are_all_compared():
+    """30 windows of one key: 10 have a run of tokens in common, which links them for sure, the others none."""
+    n = 30
+    runs = np.array([3 if k % 3 == 0 else 2 * k + 5 for k in range(n)])
+    x = runs | runs << 32
+    got = [b.to_pydict() for b in substring._pairs_of(np.zeros(n, np.int64), np.arange(n), np.arange(n) << 32, x, x, 46, 8, False)]
+    pairs = {(u, v) for b in got for u, v in zip(b["u"], b["v"])}
+    sure = {(u, v) for b in got for u, v, p in zip(b["u"], b["v"], b["pu"]) if p & 15 == 15}
+    chain = {(k, 0) for k in range(3, n, 3)} | {(k, k - 3) for k in range(3, n, 3)}
+    # the first of the ten stands for all of them
+    others = {(u, v) for u in range(n) for v in range(u) if all(k % 3 or k == 0 for k in (u, v))}
+    assert sure == chain and pairs == chain | others
+
+
+def lines_and_variants():
+    """A line of 30 words in 90 documents; what follows is shared by two or three of them, each with a word changed near the line or at the end."""
+    line, texts, r = prose(30, 2951), [], np.random.default_rng(9)
+    for k in range(90):
+        w = prose(28, 12_000 + k // 3).split()
+        if k % 3:
+            w[(1, 22)[k % 2]] = f"new{k}"
+        texts.append(prose(30 + k % 9, 15_000 + k) + " " + line + " " + " ".join(w) + " " + prose(20, 17_000 + k))
+    return [(int(i), texts[k]) for i, k in enumerate(r.permutation(90))]
+
+
+def test_large_and_hot_keys_lose_no_class(spark, monkeypatch):
+    """The classes are those of all pairs of windows of a key, whether it is small, large or hot and cut in blocks."""
+    df = spark.createDataFrame(lines_and_variants(), "doc_id long, text string").repartition(4)
+    found = lambda **o: {tuple(x) for x in substring.repeats(df, **o).select("doc_id", "class_id").collect()}
+    want = found(small=1 << 20)
+    assert len(want) >= 30 and found() == want
+    monkeypatch.setattr(substring, "LOOK", 2)
+    monkeypatch.setattr(substring, "HOT_LEAST", 40)
+    monkeypatch.setattr(substring, "_BLOCK", 16)
+    assert found() == want
+
+
+def test_windows_without_a_passage_are_left_out(spark):
+    """A run of tokens may repeat only where enough of them stand in two texts: against all runs."""
+    r = np.random.default_rng(31)
+    for trial in range(40):
+        first = np.concatenate(([0], np.cumsum(r.integers(0, 40, 4))))
+        single, least, share = r.random(first[-1]) < r.choice([0.05, 0.2, 0.5]), int(r.integers(1, 9)), float(r.choice([0.5, 8 / 9]))
+        got = np.diff(substring._may_repeat(single, first, least, share))
+        for a, b in zip(first, first[1:]):
+            for s in range(a, b):
+                want = s + least <= b and any((~single[i:j]).sum() >= share * (j - i) - 1e-9 for i in range(a, s + 1) for j in range(s + least, b + 1))
+                assert got[s] == want
+    tokens = r.integers(0, 50, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    texts = [" ".join(f"w{int(x) % 97}" for x in tokens[a : a + 100]) for a in range(0, 400, 100)]
+    seen = substring._repeated_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), 1, False)
+    words = [set(t.split()) for t in texts]
+    hashes, _, _, _ = C.words(np.frombuffer(" ".join(sorted(set().union(*words))).encode(), np.uint8), np.array([0, len(" ".join(sorted(set().union(*words))).encode())]), C.NOT_SPACE)
+    g, _ = C.shingles(hashes, np.array([0, len(hashes)]), 1)
+    for w, alone in zip(sorted(set().union(*words)), substring._single(g, seen)):
+        assert alone == (sum(w in x for x in words) == 1)
+
+
 def test_repeats_of_all_kinds_of_rows(spark):
     """Equal texts, a repeated row, a repeat inside one text, no id."""
     one, two = prose(60, 1), prose(55, 2)
