@@ -562,6 +562,15 @@ def test_large_and_hot_keys_lose_no_class(spark, monkeypatch):
     assert found() == want
 
 
+def test_large_keys_lose_no_document_to_cut(spark):
+    """The pipeline's stage cuts the documents that it would cut if all windows of a key were paired."""
+    df = spark.createDataFrame(lines_and_variants(), "doc_id long, text string").repartition(4)
+    texts = dict(lines_and_variants())
+    cut = lambda **o: {x["doc_id"] for x in substring.cut_repeats(df, **o).collect() if x["text"] != texts[x["doc_id"]]}
+    want = cut(small=1 << 20)
+    assert len(want) >= 30 and cut() == want
+
+
 def test_windows_without_a_passage_are_left_out(spark):
     """A run of tokens may repeat only where enough of them stand in two texts: against all runs."""
     r = np.random.default_rng(31)
