@@ -562,6 +562,20 @@ def test_large_and_hot_keys_lose_no_class(spark, monkeypatch):
     assert found() == want
 
 
+def test_pairs_come_in_rounds(spark, monkeypatch):
+    """Where there are many windows, pairs are made in rounds and verified in rounds; links are the same."""
+    df = spark.createDataFrame(lines_and_variants(), "doc_id long, text string").repartition(4)
+    found = lambda: {tuple(x) for x in substring.links(df).collect()}
+    want, rounds, verified = found(), [], []
+    spots, verify = substring._spots, substring._verify
+    monkeypatch.setattr(substring, "_spots", lambda *a: rounds.append(1) or spots(*a))
+    monkeypatch.setattr(substring, "_verify", lambda *a: verified.append(1) or verify(*a))
+    monkeypatch.setattr(substring, "AT_ONCE", 100)
+    monkeypatch.setattr(substring, "STRETCHES", 1 / 8)
+    assert found() == want and len(want) > 30
+    assert len(rounds) > 1 and len(verified) > 1
+
+
 def test_large_keys_lose_no_document_to_cut(spark):
     """The pipeline's stage cuts the documents that it would cut if all windows of a key were paired."""
     df = spark.createDataFrame(lines_and_variants(), "doc_id long, text string").repartition(4)
