@@ -18,7 +18,7 @@ from knotwork.functions import values as V
 from knotwork.plans import ast as A
 from knotwork.plans.infer import OBJECTS, resolve
 from knotwork.plans.plan import Info, Plan, named, tag
-from knotwork.sources.scratch import cut
+from knotwork.sources.scratch import counted, cut
 from knotwork.sources.store import EdgeStore
 
 _AND = lambda a, b: a & b
@@ -44,6 +44,7 @@ class Writer:
         self.next_id = next_id
         self.changed: set[str] = set()
         self.added: dict[str, list[DataFrame]] = {}  # of changed tables that have only got rows: these
+        self.first: set[str] = set()  # tables that were not there: all their rows have come now
 
     def _put(self, table: str, df: DataFrame) -> None:
         """Another version of a whole table."""
@@ -53,13 +54,15 @@ class Writer:
 
     def _add(self, table: str, df: DataFrame, distinct: bool = True, known: bool = True) -> None:
         """More rows of a table, which is not written anew. known: some of them may be there."""
+        if table not in self.store.tables:
+            self.first.add(table)
         old = self.store.frame(table)
         new = df.select(*(F.col(f.name).cast(f.dataType) for f in old.schema.fields))
         new = new.distinct() if distinct else new
-        if distinct and known:
+        if distinct and known and table not in (self.first - self.changed):
             new = new.alias("n").join(old.alias("o"), fold(_AND, [F.col(f"n.`{c}`").eqNullSafe(F.col(f"o.`{c}`")) for c in old.columns]), "left_anti")
         new = cut(new)
-        self.store.tables[table] = old.unionByName(new)
+        self.store.tables[table] = old.unionByName(new) if table in self.changed or table not in self.first else new
         if table not in self.changed:
             self.added[table] = []
         if table in self.added:
@@ -72,15 +75,17 @@ class Writer:
             return self.store.frame(table).limit(0)
         return fold(lambda a, b: a.unionByName(b), self.added[table]) if table in self.added else None
 
-    def _rows(self, plan: Plan | None) -> Plan:
-        """The input rows, each with a number, in a table."""
+    def _rows(self, plan: Plan | None, gaps: bool = False) -> Plan:
+        """The input rows, each with a number, in a table that is written once. gaps: the numbers only tell rows apart."""
         plan = plan if plan is not None else Plan(self.c.spark.range(1).select(), {})
+        if gaps:
+            return Plan(cut(plan.df.withColumn("#n", F.monotonically_increasing_id())), plan.vars, ["#n"])
         df = cut(plan.df.withColumn("#m", F.monotonically_increasing_id()))
         # rows of a partition are numbered on from those of the partitions before it, so that numbers have no gaps
         part = F.shiftright("#m", 33)
-        sizes = df.groupBy(part.alias("#part")).agg(F.count(F.lit(1)).alias("#size"), F.min("#m").alias("#low"))
-        before = sizes.select("#part", F.coalesce(F.sum("#size").over(Window.orderBy("#part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("#before"))
-        df = cut(df.join(before, part == F.col("#part")).withColumn("#n", F.col("#before") + F.col("#m").bitwiseAND(F.lit((1 << 33) - 1))).drop("#m", "#part", "#before"))
+        sizes = df.groupBy(part.alias("#part")).agg(F.count(F.lit(1)).alias("#size"))
+        before = cut(sizes.select("#part", F.coalesce(F.sum("#size").over(Window.orderBy("#part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("#before")))
+        df = df.join(F.broadcast(before), part == F.col("#part")).withColumn("#n", F.col("#before") + F.col("#m").bitwiseAND(F.lit((1 << 33) - 1))).drop("#m", "#part", "#before")
         return Plan(df, plan.vars, ["#n"])
 
     def _some(self, df: DataFrame, cond, message: str) -> None:
@@ -107,7 +112,8 @@ class Writer:
             self._insert_items(some, t.pattern.items)
         return out
 
-    def _insert_items(self, rows: Plan, items) -> Plan:
+    def _insert_items(self, rows: Plan, items, cleared=()) -> Plan:
+        """cleared: variables, each instance in one row only, of which the edges to be written have been taken away."""
         for x in items:
             if isinstance(x, (A.Or, A.Not, A.Iid, A.Is, A.Let)):
                 raise QueryError(f"{type(x).__name__.lower()} cannot be inserted")
@@ -122,7 +128,8 @@ class Writer:
                 if known is None or known.kind == "value":
                     attr_types.setdefault(x.attr.name, resolve(self.catalog, x.type))
         new, checks = {}, []
-        edges = _Edges(x.thing.name for x in items if isinstance(x, A.Isa) and x.thing.name not in rows.vars and x.thing.name not in attr_types)
+        edges = _Edges(cleared)
+        edges.fresh |= {x.thing.name for x in items if isinstance(x, A.Isa) and x.thing.name not in rows.vars and x.thing.name not in attr_types}
         for v, label in attr_types.items():
             t = self.catalog.type(label)
             if t.kind != "attribute":
@@ -176,8 +183,10 @@ class Writer:
                 self._links(plan, x, edges)
         self._pass(df, checks)
         for table, options in edges.rows.items():
-            e = F.explode(F.filter(F.array(*(F.when(ok, row) for row, ok in options)), lambda r: r.isNotNull()))
-            self._add(table, df.select(e.alias("e")).select("e.*"), distinct=not table.startswith("thing/"), known=table in edges.known)
+            e = F.filter(F.array(*(F.when(ok, row) for row, ok in options)), lambda r: r.isNotNull())
+            known = table in edges.known
+            e = F.array_distinct(e) if len(options) > 1 and not known else e  # edges at new instances are the same in one row only
+            self._add(table, df.select(F.explode(e).alias("e")).select("e.*"), distinct=known, known=known)
         return plan
 
     def _value_checks(self, v: str, label: str, notes) -> list:
@@ -290,7 +299,7 @@ class Writer:
         return Plan(df, {v: found.vars[v] for v in names}, [])
 
     def update(self, plan: Plan, pattern: A.Pattern) -> Plan:
-        rows = self._rows(plan)
+        rows = self._rows(plan, gaps=True)
         for x in pattern.items:
             if isinstance(x, A.Has) and isinstance(x.type, A.Label):
                 label = resolve(self.catalog, x.type)
@@ -306,7 +315,7 @@ class Writer:
                 table = f"has/{label}"
                 self._put(table, self.store.frame(table).join(gone, ["owner_type", "owner"], "left_anti"))
                 values = [y for y in pattern.items if isinstance(y, A.Compare) and isinstance(y.left, A.Var) and y.left.name == x.attr.name]
-                self._insert_items(rows.with_df(last), [x, *values])
+                self._insert_items(rows.with_df(last), [x, *values], [x.owner.name])
             elif isinstance(x, A.Links):
                 r = self._owner(rows, x.rel.name)
                 last = self._last(rows, [x.rel.name])
@@ -318,7 +327,7 @@ class Writer:
                         gone = last.where(rows.label(x.rel.name) == label).select(F.col(f"`{x.rel.name}`").alias("rel"), F.lit(name).alias("role")).distinct()
                         table = f"links/{label}"
                         self._put(table, self.store.frame(table).join(gone, ["rel", "role"], "left_anti"))
-                self._insert_items(rows.with_df(last), [x])
+                self._insert_items(rows.with_df(last), [x], [x.rel.name])
             elif not isinstance(x, A.Compare):
                 raise QueryError(f"{type(x).__name__.lower()} cannot be updated")
         return Plan(rows.df.drop("#n"), rows.vars, [])
@@ -330,7 +339,7 @@ class Writer:
         return rows.df.join(top.select("#n"), "#n", "left_semi")
 
     def delete(self, plan: Plan, items) -> Plan:
-        rows = self._rows(plan)
+        rows = self._rows(plan, gaps=True)
         gone = []
         flat = [(x, False) for x in items if x[0] != "try"] + [(y, True) for x in items if x[0] == "try" for y in x[1]]
         for x, optional in flat:
@@ -411,10 +420,10 @@ class Writer:
                 if f"thing/{r}" not in self.store.tables:
                     continue
                 empty = self.store.frame(f"thing/{r}").join(self.store.frame(f"links/{r}").select(F.col("rel").alias("iid")), "iid", "left_anti")
-                empty = cut(empty.select(F.lit(r).alias("t"), F.col("iid").alias("k")))
-                if not empty.isEmpty():
+                empty, n = counted(empty.select(F.lit(r).alias("t"), F.col("iid").alias("k")))
+                if n:
                     self._remove(empty, [r])
-                    again = True
+                    again |= bool(self.catalog.plays(r))  # others may have lost this one as a player
 
     def validate(self) -> None:
         """Cardinalities and uniqueness of what has changed: of the owners of new rows where tables have only got rows, of all where more has happened."""
@@ -428,7 +437,7 @@ class Writer:
                 labels = cat.concrete(a)
                 if touched & {t, *labels}:
                     new = [self.delta(f"has/{z}") for z in labels]
-                    grown = None if None in new else union([d.where(F.col("owner_type") == t).select("owner") for d in new])
+                    grown = None if None in new or self.first.issuperset({f"thing/{t}", *(f"has/{z}" for z in labels)}) else union([d.where(F.col("owner_type") == t).select("owner") for d in new])
                     self._card(t, union([self.store.has(t, z).select("owner") for z in labels]), cat.card(e, "owns"), f"{t} owns {a}", grown)
                     if e.notes.flags & {"key", "unique"}:
                         self._unique(cat.owns_declared(t, a), a)
@@ -437,27 +446,34 @@ class Writer:
                 if touched & {t, *rels}:
                     mine = lambda d: d.where((F.col("role") == role) & (F.col("player_type") == t)).select(F.col("player").alias("owner"))  # noqa: B023, E731
                     new = [self.delta(f"links/{r}") for r in rels]
-                    self._card(t, union([mine(self.store.frame(f"links/{r}")) for r in rels]), cat.card(e, "plays"), f"{t} plays {role}", None if None in new else union([mine(d) for d in new]))
+                    self._card(t, union([mine(self.store.frame(f"links/{r}")) for r in rels]), cat.card(e, "plays"), f"{t} plays {role}", None if None in new or self.first.issuperset({f"thing/{t}", *(f"links/{r}" for r in rels)}) else union([mine(d) for d in new]))
             if cat.types[t].kind == "relation" and t in touched:
                 for role, e in cat.relates(t).items():
                     mine = lambda d: d.where(F.col("role") == role).select(F.col("rel").alias("owner"))  # noqa: B023, E731
                     new = self.delta(f"links/{t}")
-                    self._card(t, mine(self.store.frame(f"links/{t}")), cat.card(e, "relates"), f"{t} relates {role}", None if new is None else mine(new))
+                    self._card(t, mine(self.store.frame(f"links/{t}")), cat.card(e, "relates"), f"{t} relates {role}", None if new is None or self.first.issuperset({f"thing/{t}", f"links/{t}"}) else mine(new))
 
     def _card(self, t: str, edges: DataFrame | None, card: tuple[int, int | None], what: str, grown: DataFrame | None) -> None:
         """grown: the owners of edges that have come, where none has gone."""
         low, high = card
-        if edges is not None and high is not None:
+        many, few = F.col("count") > high if high is not None else F.lit(False), F.coalesce("count", F.lit(0)) < low
+        checks = [(many, f"{what} more than {high} times"), (few, f"{what} fewer than {low} times")]
+        new = self.delta(f"thing/{t}")
+        if edges is not None and (high is not None or low > 0 and grown is None):
             some = edges if grown is None else edges.join(grown.distinct(), "owner", "left_semi")
-            self._some(some.groupBy("owner").count(), F.col("count") > high, f"{what} more than {high} times")
+            counts = some.groupBy("owner").count()
+            if low > 0 and grown is None:  # both in one look
+                things = self.store.frame(f"thing/{t}").select(F.col("iid").alias("owner"), F.lit(True).alias("here"))
+                have = counts.join(things, "owner", "full_outer")
+                return self._pass(have, [checks[0], (few & F.col("here"), checks[1][1])])
+            self._some(counts, *checks[0])
         if low > 0:
-            new = self.delta(f"thing/{t}")
             things = (self.store.frame(f"thing/{t}") if grown is None or new is None else new).select(F.col("iid").alias("owner"))
             if edges is not None and grown is not None and new is not None:
                 edges = edges.join(things, "owner", "left_semi")
             counts = edges.groupBy("owner").count() if edges is not None else None
             have = things.join(counts, "owner", "left") if counts is not None else things.withColumn("count", F.lit(None).cast("bigint"))
-            self._some(have, F.coalesce("count", F.lit(0)) < low, f"{what} fewer than {low} times")
+            self._some(have, *checks[1])
 
     def _unique(self, scope: str, attr: str) -> None:
         cat = self.catalog
@@ -465,9 +481,10 @@ class Writer:
         for label in cat.concrete(attr):
             mine = lambda d: d.where(F.col("owner_type").isin(owners))
             df, new = mine(self.store.frame(f"has/{label}")), self.delta(f"has/{label}")
-            if new is not None:
+            if new is not None and f"has/{label}" not in self.first:
                 df = df.join(mine(new).select("value").distinct(), "value", "left_semi")
-            self._some(df.distinct().groupBy("value").count(), F.col("count") > 1, f"{attr} of {scope} is not unique")
+            owner = F.struct("owner_type", "owner")
+            self._some(df.groupBy("value").agg(F.min(owner).alias("low"), F.max(owner).alias("high")), F.col("low") != F.col("high"), f"{attr} of {scope} is not unique")
 
 
 STAGES = {"insert": Writer.insert, "put": Writer.put, "update": Writer.update}

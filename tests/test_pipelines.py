@@ -411,3 +411,14 @@ def test_a_failed_query_leaves_no_rows(database):
             tx.query('insert $p isa part, has code "fine"; insert $q isa part, has code "7";')
         tx.commit()
     assert ask(db, "match $p isa part, has code $c; select $c;") == [("ok",)]
+
+
+def test_input_rows_are_written_once(people, monkeypatch):
+    """A write stage fixes its input rows in one table."""
+    from knotwork.operators import write
+
+    seen, cut = [], write.cut
+    monkeypatch.setattr(write, "cut", lambda df: seen.append(df.columns) or cut(df))
+    with people.transaction("write") as tx:
+        tx.query("match $p isa person, has name $n; delete $p;")
+        assert sum("#m" in c or "#n" in c for c in seen) == 1
